@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.terms import SIMPLE, clean_iri, lexical, value_text
+from ..runtime import map_arrow
 
 TYPES = {"integer": "decimal(38,0)", "decimal": "decimal(38,2)", "boolean": "boolean", "date": "date", "string": "string"}
 
@@ -82,7 +83,7 @@ def widen(triples: DataFrame, predicates: DataFrame) -> DataFrame:
     best = best_values(triples, predicates)
     slots = triples.sparkSession.createDataFrame([(r["pred_iri"], k) for k, r in enumerate(declared)], "p string, slot int")
     cells = best.join(F.broadcast(slots), "p").select("s", "slot", "val").repartition("s").sortWithinPartitions("s")
-    text = cells.mapInArrow(_stitch(len(declared)), "ordinal long, s string" + "".join(f", c{k} string" for k in range(len(declared))))
+    text = map_arrow(cells, _stitch(len(declared)), "ordinal long, s string" + "".join(f", c{k} string" for k in range(len(declared))))
     names: dict[str, str] = {}
     for r in declared:
         name = base = r["pred_iri"].rstrip("/").rsplit("/", 1)[-1].rsplit("#", 1)[-1]

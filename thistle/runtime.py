@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,5 +62,28 @@ def forget(df: DataFrame | None) -> None:
         _drop(df.sparkSession, path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable for the executors' Python, wherever the driver has it from; once per application."""
+    sc = spark.sparkContext
+    if getattr(sc, "_thistle_shipped", False):
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="thistle-"), "thistle.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(home)))
+    sc.addPyFile(archive)
+    sc._thistle_shipped = True
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """mapInArrow with functions of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
