@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 KG = "http://kg.example/"
 #: The prefixes of TESTDATA.md.
 PREFIXES = {"kge": KG + "entity/", "kgc": KG + "class/", "kgp": KG + "prop/"}
 ENTITY = PREFIXES["kge"]
-_EDGE = r"[\s\p{Z}<>]"
-_WS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
+#: All white space of Unicode.
+_WS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _ABSOLUTE = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)(.*)$"
-_LITERAL = r'(?s)^"(.*)"(?:@[^"]*|\^\^[^"]*)?$'
 
 
 def _col(c: Column | str) -> Column:
@@ -22,17 +21,16 @@ def _col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without outer white space of any kind."""
-    return F.regexp_replace(_col(c), _WS, "")
+    return F.btrim(_col(c), F.lit(_WS))
 
 
-def clean_iri(c: Column | str, prefixes: Mapping[str, str] = PREFIXES, usual: str = KG) -> Column:
-    """One spelling for every IRI: outer white space and angle brackets removed, prefixes expanded, scheme and host in lower case, https as http.
+def _usual(c: Column, usual: str) -> Column:
+    """Clean as it is: most terms are, and take no regular expression but on one character."""
+    return c.startswith(usual) & F.right(c, F.lit(1)).rlike("[A-Za-z0-9/]")
 
-    Null stays null, an empty string stays empty, text that is no IRI comes back trimmed. Terms that begin with `usual` and end in a
-    letter, digit or slash are clean already and skip the regular expressions.
-    """
-    c = _col(c)
-    t = F.regexp_replace(c, f"^{_EDGE}+|{_EDGE}+$", "")
+
+def _cleaned(c: Column, prefixes: Mapping[str, str]) -> Column:
+    t = F.btrim(c, F.lit(_WS + "<>"))
     scheme = F.lower(F.regexp_extract(t, _ABSOLUTE, 1))
     whole = F.concat(
         F.when(scheme == "https", F.lit("http")).otherwise(scheme),
@@ -40,40 +38,55 @@ def clean_iri(c: Column | str, prefixes: Mapping[str, str] = PREFIXES, usual: st
         F.lower(F.regexp_extract(t, _ABSOLUTE, 2)),
         F.regexp_extract(t, _ABSOLUTE, 3),
     )
-    other = F.when(t.rlike(_ABSOLUTE), whole).otherwise(t)
+    other = F.when(F.contains(t, F.lit("://")) & t.rlike(_ABSOLUTE), whole).otherwise(t)
     for k, v in prefixes.items():
         other = F.when(t.startswith(k + ":"), F.concat(F.lit(v), F.substr(t, F.lit(len(k) + 2)))).otherwise(other)
-    return F.when(c.startswith(usual) & F.right(c, F.lit(1)).rlike("[A-Za-z0-9/]"), c).otherwise(other)
+    return other
+
+
+def clean_iri(c: Column | str, prefixes: Mapping[str, str] = PREFIXES, usual: str = KG) -> Column:
+    """One spelling for every IRI: outer white space and angle brackets removed, prefixes expanded, scheme and host in lower case, https as http.
+
+    Null stays null, an empty string stays empty, text that is no IRI comes back trimmed. Terms that begin with `usual` and end in a
+    letter, digit or slash are clean already and skip the regular expressions.
+    """
+    c = _col(c)
+    return F.when(_usual(c, usual), c).otherwise(_cleaned(c, prefixes))
 
 
 def is_literal(c: Column | str) -> Column:
-    return F.ltrim(_col(c)).startswith('"')
+    return strip(c).startswith('"')
 
 
 def is_blank(c: Column | str) -> Column:
-    return F.ltrim(_col(c)).startswith("_:")
+    return strip(c).startswith("_:")
 
 
-def iri_of(c: Column | str) -> Column:
+def iri_of(c: Column | str, prefixes: Mapping[str, str] = PREFIXES, usual: str = KG) -> Column:
     """The clean IRI, or null where the term is anything else (literal, blank node, bare number or boolean, empty)."""
     c = _col(c)
-    x = clean_iri(c)
-    return F.when(~is_literal(c) & ~is_blank(c) & x.rlike("^[a-z][a-z0-9+.\\-]*://"), x)
+    named = F.contains(c, F.lit("://"))
+    for k in prefixes:
+        named = named | F.contains(c, F.lit(k + ":"))
+    x = _cleaned(c, prefixes)
+    return F.when(_usual(c, usual), c).when(named & ~is_literal(c) & ~is_blank(c), F.when(x.rlike("^[a-z][a-z0-9+.\\-]*://"), x))
 
 
 def lexical(c: Column | str) -> Column:
-    """The text of a literal in quotes, escapes decoded; a bare value as it is; null for IRIs and blank nodes."""
-    c = _col(c)
+    """The text of a literal in quotes, escapes decoded; a bare value as it is; null for IRIs and blank nodes.
+
+    A literal ends at its last quote; what follows is its tag. One without a closing quote goes to the end.
+    """
     t = strip(c)
-    inner = F.regexp_extract(t, _LITERAL, 1)
+    tag = F.substring_index(t, '"', -1)
+    size = F.char_length(t) - F.char_length(tag) - 2
+    inner = F.substr(t, F.lit(2), F.when(size >= 0, size).otherwise(F.char_length(t)))
     mark = "\u0001"
     plain = inner
     for a, b in (("\\\\", mark), ('\\"', '"'), ("\\n", "\n"), ("\\t", "\t"), ("\\r", "\r"), (mark, "\\")):
         plain = F.replace(plain, F.lit(a), F.lit(b))
-    decoded = F.when(F.contains(inner, F.lit("\\")), plain).otherwise(inner)
-    return F.when(t.startswith('"'), F.when(t.rlike(_LITERAL), decoded).otherwise(F.substr(t, F.lit(2)))).when(
-        ~t.startswith("_:") & ~t.startswith("<") & ~t.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*:"), t
-    )
+    decoded = F.when(F.contains(t, F.lit("\\")), plain).otherwise(inner)
+    return F.when(t.startswith('"'), decoded).when(~t.startswith("_:") & ~t.startswith("<") & ~(F.contains(t, F.lit(":")) & t.rlike("^[A-Za-z][A-Za-z0-9+.\\-]*:")), t)
 
 
 def quoted_lexical(c: Column | str) -> Column:
@@ -89,17 +102,17 @@ def words(c: Column | str) -> Column:
 SIMPLE = ("integer", "decimal", "boolean", "date", "string")
 
 
-def value_text(kind: Column | str, lex: Column | str) -> Column:
-    """The normal form of a literal of a simple type, or null where it doesn't read as one value of the type.
+def with_value(df: DataFrame, kind: str, term: str, out: str) -> DataFrame:
+    """df with `out`: the normal form of a literal of a simple type, or null where it doesn't read as one value of the type.
 
     integer and decimal: an optional sign, digits, a point or comma as decimal mark, an exponent of up to three digits; an integer must be
-    whole, a decimal is rounded half up to two places. Numbers of more than 28 digits before the mark count as invalid.
+    whole, a decimal is rounded half up to two places. Numbers of more than 28 digits before the mark count as invalid. Worked out in steps
+    (columns _v and _n, dropped again), so that nothing is computed twice.
     """
-    kind, v = _col(kind), strip(lex)
-    num = F.when(
-        v.rlike(r"^[+\-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+\-]?[0-9]{1,3})?$"),
-        F.replace(v, F.lit(","), F.lit(".")).try_cast("decimal(38,10)"),
-    )
+    k, v, num = F.col(kind), F.col("_v"), F.col("_n")
+    df = df.withColumn("_v", F.when(k.isin(*SIMPLE), strip(lexical(term))))
+    is_number = k.isin("integer", "decimal") & v.rlike(r"^[+\-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+\-]?[0-9]{1,3})?$")
+    df = df.withColumn("_n", F.when(is_number, F.replace(v, F.lit(","), F.lit(".")).try_cast("decimal(38,10)")))
     whole = F.when(num == F.floor(num), num.cast("decimal(38,0)").cast("string"))
     fixed = F.round(num, 2).cast("decimal(38,2)").cast("string")
     low = F.lower(v)
@@ -111,13 +124,24 @@ def value_text(kind: Column | str, lex: Column | str) -> Column:
         return F.concat_ws("-", part(y), part(m), part(d)).try_cast("date")
 
     date = F.when(v.rlike(iso), day(iso, 1, 2, 3)).when(v.rlike(dot), day(dot, 3, 2, 1)).when(v.rlike(run), day(run, 1, 2, 3))
-    return (
-        F.when(kind == "integer", whole)
-        .when(kind == "decimal", fixed)
-        .when(kind == "boolean", truth)
-        .when(kind == "date", F.date_format(date, "yyyy-MM-dd"))
-        .when(kind == "string", F.when(v != "", v))
+    text = (
+        F.when(k == "integer", whole)
+        .when(k == "decimal", fixed)
+        .when(k == "boolean", truth)
+        .when(k == "date", F.date_format(date, "yyyy-MM-dd"))
+        .when(k == "string", F.when(v != "", v))
     )
+    return df.withColumn(out, text).drop("_v", "_n")
+
+
+def where_any(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which one of the columns isn't null, without computing what is behind these columns a second time for the test.
+
+    An ordinary filter is pushed below the projection and takes the expressions with it.
+    """
+    cols = [F.col(c) for c in columns]
+    keep = F.array_compact(F.array(*(F.when(c.isNotNull(), F.lit(1)) for c in cols)))
+    return df.select("*", F.explode(F.slice(keep, 1, 1)).alias("_keep")).drop("_keep")
 
 
 def micros(c: Column | str) -> Column:

@@ -6,9 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.terms import SIMPLE, clean_iri, lexical, value_text
+from ..functions.terms import SIMPLE, clean_iri, where_any, with_value
 from ..runtime import map_arrow
 
 TYPES = {"integer": "decimal(38,0)", "decimal": "decimal(38,2)", "boolean": "boolean", "date": "date", "string": "string"}
@@ -20,8 +21,8 @@ def best_values(triples: DataFrame, predicates: DataFrame) -> DataFrame:
     Null asserted_at counts as before all others. Rows with a null s, undeclared p or invalid value give nothing.
     """
     simple = predicates.where(F.col("value_type").isin(*SIMPLE)).select(F.col("pred_iri").alias("p"), F.col("value_type").alias("kind"))
-    rows = triples.where("s is not null and o is not null").select(clean_iri("s").alias("s"), clean_iri("p").alias("p"), lexical("o").alias("lex"), "asserted_at", "stmt_id")
-    rows = rows.join(simple, "p").withColumn("val", value_text("kind", "lex")).where("val is not null")
+    rows = triples.where("s is not null and o is not null").select(clean_iri("s").alias("s"), clean_iri("p").alias("p"), "o", "asserted_at", "stmt_id")
+    rows = where_any(with_value(rows.join(simple, "p"), "kind", "o", "val"), "val")
     best = F.max(F.struct("asserted_at", "stmt_id", "val", "kind")).alias("b")
     return rows.groupBy("s", "p").agg(best).select("s", "p", F.col("b.kind").alias("kind"), F.col("b.val").alias("val"))
 
@@ -40,7 +41,7 @@ def _stitch(n: int):
         def assemble(t: pa.Table) -> pa.RecordBatch:
             nonlocal ordinal
             s = t.column("s").combine_chunks()
-            ends = np.flatnonzero(np.append(pa.compute.not_equal(s[1:], s[:-1]).to_numpy(zero_copy_only=False), True)) if len(s) > 1 else np.array([0])
+            ends = np.flatnonzero(np.append(pc.not_equal(s[1:], s[:-1]).to_numpy(zero_copy_only=False), True)) if len(s) > 1 else np.array([0])
             counts = np.diff(np.append(-1, ends))
             at = np.repeat(np.arange(len(ends)), counts)
             slot, val = t.column("slot").to_numpy(), t.column("val").combine_chunks()
@@ -59,7 +60,7 @@ def _stitch(n: int):
             t = pa.Table.from_batches([b])
             held = t if held is None else pa.concat_tables([held, t])
             last = held.column("s")[held.num_rows - 1]
-            same = pa.compute.equal(held.column("s"), last).to_numpy()
+            same = pc.equal(held.column("s"), last).to_numpy()
             cut_at = int(np.flatnonzero(same)[0])
             if cut_at:
                 yield assemble(held.slice(0, cut_at))
