@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.terms import SIMPLE, clean_iri, iri_of, is_blank, lexical, value_text, words
+from ..functions.terms import clean_iri, iri_of, is_blank, lexical, where_any, with_value, words
 from ..runtime import cut, forget, map_arrow
 
 TRAIN, EVAL = "train", ("valid", "test")
@@ -22,16 +22,12 @@ def records(triples: DataFrame, predicates: DataFrame) -> DataFrame:
     ok = F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull() & F.col("split_name").isin(TRAIN, *EVAL) & ~is_blank("s") & ~is_blank("o")
     t = triples.where(ok).select("stmt_id", (F.col("split_name") == TRAIN).alias("train"), clean_iri("s").alias("s"), clean_iri("p").alias("p"), "o")
     t = t.join(declared, "p")
+    t = with_value(t, "value_type", "o", "val")
     kind = F.col("value_type")
-    val = F.when(kind.isin(*SIMPLE), value_text(kind, lexical("o"))).when(kind.isin("class", "entity", "external"), iri_of("o"))
-    t = t.withColumn("words", F.when(kind == "text", F.array_distinct(words(lexical("o"))))).withColumn("val", val)
-    text = kind == "text"
-    return t.where((text & (F.size("words") > 0)) | (~text & F.col("val").isNotNull())).select("stmt_id", "train", F.when(text, "text").otherwise("exact").alias("kind"), "p", "s", "val", "words")
-
-
-def _two(*cols) -> list:
-    """128 bits in two columns: equal for equal values, and for others as good as never."""
-    return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(7), *reversed(cols)).alias("h2")]
+    t = t.withColumn("val", F.coalesce("val", F.when(kind.isin("class", "entity", "external"), iri_of("o"))))
+    t = t.withColumn("words", F.when(kind == "text", words(lexical("o"))))
+    t = t.withColumn("words", F.when(F.size("words") > 0, F.array_distinct("words")))
+    return where_any(t, "val", "words").select("stmt_id", "train", F.when(kind == "text", "text").otherwise("exact").alias("kind"), "p", "s", "val", "words")
 
 
 def _needed(n: int, similarity: float) -> int:
@@ -69,19 +65,27 @@ def _grams(common: dict[int, int], similarity: float, gram: int):
     return of
 
 
-def near_classes(text: DataFrame, similarity: float = 0.7, gram: int = 3, common_share: float = 0.0005) -> DataFrame:
+def near_classes(text: DataFrame, similarity: float = 0.7, gram: int | None = None, common_share: float = 0.0005) -> DataFrame:
     """Pairs of different word sets (eval side a, train side b) with a Jaccard similarity of at least `similarity`, and their containment.
 
     text: h1, h2 (the class, of predicate and word set), ph (hash of the predicate), hashes (sorted word hashes), train_too, eval_too; one
     row per class. Words in at least common_share of all classes are ranked by their number; all rarer words come first, in hash order. As
     sets have a bounded mean size, at most size/common_share words are that common: that table may be broadcast.
+    gram: None takes the fewest words that keep chance hits below one a combination, by the sizes and the vocabulary; any number gives the
+    same pairs.
     """
     spark = text.sparkSession
     total = text.count()
     if not total:
         return text.select(*(F.col(c).alias(c + s) for s in ("_a", "_b") for c in ("h1", "h2")), F.lit(0.0).alias("jaccard"), F.lit(0.0).alias("containment")).limit(0)
     least = max(2, ceil(total * common_share))
-    df = text.select(F.explode("hashes").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    df = cut(text.select(F.explode("hashes").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    if gram is None:
+        seen = df.agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("n").alias("n")).first()
+        mean = seen["n"] / total
+        first = mean - _needed(round(mean), similarity)
+        gram = next((g for g in (2, 3, 4) if total * comb(round(first) + g, g) < comb(seen["vocabulary"], g)), 4)
+    df = df.where(F.col("n") >= least)
     common = spark.sparkContext.broadcast({r["w"]: r["n"] for r in df.toLocalIterator()})
 
     def run(batches):
@@ -100,7 +104,7 @@ def near_classes(text: DataFrame, similarity: float = 0.7, gram: int = 3, common
     return both.where(F.col("shared") * 1000 >= F.lit(round(similarity * 1000)) * (F.size("w_a") + F.size("w_b") - F.col("shared"))).select("h1_a", "h2_a", "h1_b", "h2_b", "jaccard", "containment")
 
 
-def cross_split_pairs(triples: DataFrame, predicates: DataFrame, similarity: float = 0.7, gram: int = 3) -> DataFrame:
+def cross_split_pairs(triples: DataFrame, predicates: DataFrame, similarity: float = 0.7, gram: int | None = None) -> DataFrame:
     """(eval_id, train_id, containment): all pairs of an evaluation and a training statement that are the same or almost.
 
     Statements fall into classes: those of an exact kind by predicate, subject and value; texts by predicate and word set. Evaluation classes
