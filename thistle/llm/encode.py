@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..runtime import map_arrow
@@ -58,7 +59,7 @@ def _by_word(path: str, lengths_only: bool, kept: int = 500_000):
             code = coded.indices.to_numpy()
             n = length[code]
             ends = np.append(0, np.cumsum(n))
-            counts = np.append(0, np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
+            counts = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)))
             offsets = ends[counts]
             if lengths_only:
                 out = pa.array(np.diff(offsets).astype(np.int64))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..runtime import cut, map_arrow
@@ -41,7 +42,7 @@ def _repeated(code: np.ndarray, doc: np.ndarray, run: int) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         lists = b.column(1)
-        length = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         code = lists.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
         doc = np.repeat(np.arange(b.num_rows), length)
         sums = lambda x: np.bincount(doc[x], minlength=b.num_rows)

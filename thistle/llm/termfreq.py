@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ..runtime import map_arrow
@@ -26,7 +27,7 @@ def _last_seen(fields: list[str]):
                 terms = lists.flatten()
                 if not len(terms):
                     continue
-                record = pa.compute.list_parent_indices(lists).to_numpy()
+                record = pc.list_parent_indices(lists).to_numpy()
                 coded = terms.dictionary_encode()
                 code = coded.indices.to_numpy()
                 order = np.argsort(code, kind="stable")
