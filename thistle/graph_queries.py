@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .graph import Graph
 from .plans.mapping import test_tables
-from .runtime import ship, table
-from .sources.statements import statements
+from .runtime import ship
 
 EX = "http://ex.example/"
 XSD = "http://www.w3.org/2001/XMLSchema#"
@@ -20,12 +19,6 @@ def tables_graph(spark: SparkSession, d: str, *names: str, **options) -> Graph:
     return Graph(spark, test_tables(spark, d, *names), prefixes={"ex": EX, "": EX}, **options)
 
 
-def statements_graph(spark: SparkSession, d: str, **options) -> Graph:
-    ship(spark)
-    base = "http://kg.example/"
-    return Graph(spark, triples=statements(table(spark, d, "triples")), prefixes={"kge": base + "entity/", "kgc": base + "class/", "kgp": base + "prop/", "": base + "prop/"}, **options)
-
-
 #: name -> (tables, query, SQL)
 TABLE_QUERIES: dict[str, tuple[str, str, str]] = {}
 

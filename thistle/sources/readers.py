@@ -16,7 +16,7 @@ from ..functions.values import literal_term
 from ..plans import ast as A
 from ..plans.compile import constant_term, quoted_key
 from ..plans.sparql import Parser
-from ..runtime import map_arrow
+from ..runtime import cut, map_arrow
 
 _IRI, _BLANK, _TEXT = r"<[^<>\"\s]*>", r"_:[A-Za-z0-9_.\-]+", r"\"(?:[^\"\\]|\\.)*\"(?:@[A-Za-z]+(?:-[A-Za-z0-9]+)*|\^\^<[^>]*>)?"
 _FLAT = f"(?:{_IRI}|{_BLANK}|{_TEXT})"
@@ -60,7 +60,7 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def load_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(triples, quoted, errors): statements each once, with those that are quoted asserted, too; quoted statements by key; malformed lines."""
-    rows = parse_lines(lines, column)
+    rows = cut(parse_lines(lines, column))  # read three times below
     ok = rows.where("ok")
     raw = ok.select(F.explode(F.array_compact(F.array("raw_s", "raw_o"))).alias("raw")).distinct()
     s, p, o = _inner(F.col("raw"))
