@@ -19,7 +19,7 @@ TRAIN, EVAL = "train", ("valid", "test")
 def records(triples: DataFrame, predicates: DataFrame) -> DataFrame:
     """(stmt_id, train, kind, p, s, val, words): statements that can be in a pair. kind is exact or text; words are distinct, for text only."""
     declared = predicates.select(F.col("pred_iri").alias("p"), "value_type")
-    ok = F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull() & F.col("split_name").isin(TRAIN, *EVAL) & ~is_blank("s") & ~is_blank("o")
+    ok = F.col("stmt_id").isNotNull() & F.col("s").isNotNull() & F.col("p").isNotNull() & F.col("o").isNotNull() & F.col("split_name").isin(TRAIN, *EVAL) & ~is_blank("s") & ~is_blank("o")
     t = triples.where(ok).select("stmt_id", (F.col("split_name") == TRAIN).alias("train"), clean_iri("s").alias("s"), clean_iri("p").alias("p"), "o")
     t = t.join(declared, "p")
     t = with_value(t, "value_type", "o", "val")
@@ -109,7 +109,7 @@ def cross_split_pairs(triples: DataFrame, predicates: DataFrame, similarity: flo
 
     Statements fall into classes: those of an exact kind by predicate, subject and value; texts by predicate and word set. Evaluation classes
     are matched with training classes, and only matching classes are expanded to statements. Rows with null s, p, o or split, undeclared
-    predicates, blank nodes, invalid values and texts without words are in no pair; a statement id occurring twice counts as one.
+    predicates, blank nodes, invalid values, texts without words and rows without id are in no pair; repeated ids give repeated pairs.
     """
     rows = records(triples, predicates)
     sorted_hashes = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))

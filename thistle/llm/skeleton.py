@@ -69,28 +69,33 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(df: DataFrame, column: str) -> DataFrame:
     """(text, skeleton) of every distinct text."""
-    return map_arrow(df.select(F.col(column).alias("text")).where("text is not null").distinct(), _skeletons, "text string, skeleton string")
+    return map_arrow(df.select(F.col(f"`{column}`").alias("text")).where("text is not null").distinct(), _skeletons, "text string, skeleton string")
 
 
 def skeletons(df: DataFrame, column: str) -> DataFrame:
     """df with `skeleton` (null for null; empty for texts without anything visible) beside every row.
 
-    Only distinct texts are worked on. A column named skeleton is replaced.
+    Only distinct texts are worked on. A column of df named skeleton is replaced, all others stay.
     """
-    texts = _texts(df, column).withColumnRenamed("text", "_text")
-    return df.drop("skeleton").join(texts, F.col(column) == F.col("_text"), "left").drop("_text")
+    rows = df.drop("skeleton") if column != "skeleton" else df.withColumnRenamed("skeleton", column := "text")
+    free = next(n for n in ("_text", "_text_", "_text__", "_text___") if n not in rows.columns)
+    return rows.join(_texts(rows, column).withColumnRenamed("text", free), F.col(f"`{column}`") == F.col(free), "left").drop(free)
 
 
 def classes(df: DataFrame, id_column: str, column: str) -> DataFrame:
-    """(id, skeleton, class_id, spellings): one row per row of df; class_id is the least id with that skeleton, spellings its different texts."""
-    rows = skeletons(df.select(id_column, column), column)
-    per = rows.where("skeleton is not null").groupBy("skeleton").agg(F.min(id_column).alias("class_id"))
-    texts = rows.where("skeleton is not null").select("skeleton", column).distinct().groupBy("skeleton").agg(F.count(F.lit(1)).alias("spellings"))
-    return rows.join(per.join(texts, "skeleton"), "skeleton", "left").select(id_column, "skeleton", "class_id", "spellings")
+    """(id, skeleton, class_id, spellings): one row per row of df; class_id is the least id with that skeleton, spellings its different texts.
+
+    Null texts have a null skeleton and class.
+    """
+    rows = skeletons(df.select(F.col(id_column).alias("_id"), F.col(column).alias("_label")), "_label")
+    seen = rows.where("skeleton is not null")
+    per = seen.groupBy("skeleton").agg(F.min("_id").alias("class_id"))
+    texts = seen.select("skeleton", "_label").distinct().groupBy("skeleton").agg(F.count(F.lit(1)).alias("spellings"))
+    return rows.join(per.join(texts, "skeleton"), "skeleton", "left").select(F.col("_id").alias(id_column), "skeleton", "class_id", "spellings")
 
 
 def look_alike_pairs(df: DataFrame, id_column: str, column: str) -> DataFrame:
-    """(id_a, id_b), a < b: rows whose texts differ as stored and have one skeleton. Null texts are in no pair.
+    """(id_a, id_b), a < b: rows whose texts differ as stored and have one skeleton. Null texts and rows without id are in no pair.
 
     Different spellings are paired first, so that copies of one spelling meet only rows they make a pair with.
     """
@@ -99,6 +104,6 @@ def look_alike_pairs(df: DataFrame, id_column: str, column: str) -> DataFrame:
     texts = texts.join(several, "skeleton")
     other = texts.withColumnRenamed("text", "other")
     spelled = texts.join(other, "skeleton").where("text < other").select("text", "other")
-    rows = df.select(F.col(id_column).alias("id"), F.col(column).alias("text"))
+    rows = df.select(F.col(id_column).alias("id"), F.col(column).alias("text")).where("id is not null")
     pairs = spelled.join(rows, "text").select(F.col("id").alias("a"), F.col("other").alias("text")).join(rows, "text").select("a", F.col("id").alias("b"))
     return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))
