@@ -108,7 +108,7 @@ class Compiler:
         cond = self._conditions(a, b, shared, right)
         for f in extra or []:
             both = Rel(a.df, {**b.vars, **a.vars}, a.maybe | b.maybe, scores)
-            c = F.coalesce(V.truth(self.expr(f, both)), F.lit(False))
+            c = V.truth(self.expr(f, both))
             cond = c if cond is None else cond & c
         if how in ("left_semi", "left_anti"):
             df = a.df.join(other, cond if cond is not None else F.lit(True), how)
@@ -357,7 +357,7 @@ class Compiler:
                     return None
                 df = df.where(F.col(prop.column) == k)
             else:
-                df = df.where(F.coalesce(V.equal(Value(F.col(prop.column), prop.kind), V.constant(t.o)), F.lit(False)) if V.constant(t.o).kind != prop.kind else F.col(prop.column) == V.constant(t.o).col)
+                df = df.where(V.equal(Value(F.col(prop.column), prop.kind), V.constant(t.o)))
         if not isinstance(s, A.Var):
             size = 1
         return Rel(df.select(*cols) if cols else df.select(F.lit(True).alias("__unit")), kinds, size=max(size, 1))
@@ -632,7 +632,7 @@ class Compiler:
             return self.join(r, self.project(inner, needed), "left_anti" if e.negated else "left_semi", extra)
         e, r, marks = self._mark(e, r)
         r = self.prepare(r, [e])
-        out = r.where(F.coalesce(V.truth(self.expr(e, r)), F.lit(False)))
+        out = r.where(V.truth(self.expr(e, r)))
         return replace(out, df=out.df.drop(*marks)) if marks else out
 
     def _inner(self, r: Rel, e: A.Exists) -> tuple[Rel, list, list[str]]:

@@ -61,7 +61,8 @@ class Store:
         v = version if version is not None else max(have, default=None)
         if v not in have:
             raise QueryError(f"no version {v} in {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v{v}/{name}")
+        read = self.spark.read.schema("s string, p string, o string, bucket int") if name == "triples" else self.spark.read
+        return read.parquet(f"{self.path}/v{v}/{name}")
 
     def insert(self, triples: DataFrame) -> tuple[int, int]:
         """(new statements, duplicates); writes a version only if there is something new."""
