@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .operators import paths
+from .operators import paths, proptable, vector
 from .plans import ast as A
 from .plans.compile import Compiler
 from .plans.mapping import TableMap
@@ -32,6 +34,10 @@ class Graph:
         self.functions: dict[str, tuple[Callable, str]] = {}
         self.size = 1e7
         self._annotated: DataFrame | None = None
+        self.rows_of: dict[str, int] = {}
+        self.dimensions: dict[str, int] = {}
+        self.stars: list[tuple[DataFrame, dict[str, str]]] = []
+        self.chains: dict[tuple[str, str], DataFrame] = {}
 
     # what the compiler asks
 
@@ -48,7 +54,7 @@ class Graph:
     def statements(self, scope: tuple | None, visible: Callable[[Column, Column, Column], Column]) -> DataFrame:
         """The statements, in a temporal scope only those that may hold then. Statements without annotations always do."""
         if scope is None or self.quoted is None:
-            return self.triples
+            return self.triples.select("s", "p", "o")
         t = self.triples.join(self.annotations(), ["s", "p", "o"], "left")
         return t.where(visible(F.col("starts"), F.col("ends"), F.col("asserted"))).select("s", "p", "o")
 
@@ -61,6 +67,70 @@ class Graph:
             self._annotated = cut(a.groupBy(F.col("qs").alias("s"), F.col("qp").alias("tp"), F.col("qo").alias("o")).agg(*(pick(iri).alias(c) for iri, c in names.items())).withColumnRenamed("tp", "p"))
         return self._annotated
 
+    def estimate(self, predicate: str | None) -> float:
+        return self.rows_of.get(predicate, 1) if predicate and self.rows_of else self.size
+
+    # derived data; any update drops it
+
+    def analyze(self, most: int = 10_000) -> None:
+        """Counts the statements of the `most` frequent predicates, for the order of joins; results don't depend on it."""
+        rows = self.triples.groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").limit(most).collect()
+        self.rows_of = {r["p"]: r["n"] for r in rows}
+        self.size = float(max(1, sum(self.rows_of.values())))
+
+    def find_tables(self) -> list[proptable.Found]:
+        """Looks for tables in the statements and keeps those columns that hold all of their predicate's statements: patterns of one subject that
+        need only such columns are then one scan of a table."""
+        found, members = proptable.discover(self.triples)
+        self.stars = []
+        for t in found:
+            rows = cut(proptable.build(self.triples, members, t))
+            full = proptable.exact(self.triples, rows, t)
+            columns = {p[1:]: c for (p, _), c in zip(t.columns, (c for c in rows.columns if c != "node"), strict=True) if p[0] == ">" and full[c]}
+            if columns:
+                self.stars.append((rows, columns))
+        return found
+
+    def keep_chain(self, first: str, second: str) -> None:
+        """Joins two predicates once, for paths first/second."""
+        a = self.triples.where(F.col("p") == first).select("s", F.col("o").alias("m"))
+        b = self.triples.where(F.col("p") == second).select(F.col("s").alias("m"), "o")
+        self.chains[first, second] = cut(a.join(b, "m").select("s", "o"))
+
+    def _changed(self) -> None:
+        self._annotated, self.stars, self.chains, self.rows_of = None, [], {}, {}
+
+    # vectors
+
+    def declare_vectors(self, predicate: str, dimensions: int, metric: str = "cosine") -> None:
+        if metric not in vector.METRICS or dimensions < 1:
+            raise A.QueryError(f"no metric {metric!r} or no dimensions")
+        self.declared[predicate], self.dimensions[predicate] = metric, dimensions
+
+    def insert_vectors(self, predicate: str, vectors: DataFrame) -> int:
+        """vectors: s, vec. All or nothing: a vector of another length, or null, raises QueryError. Texts have six decimals."""
+        n = self.dimensions.get(predicate)
+        if n is None:
+            raise A.QueryError(f"<{predicate}> isn't declared for vectors")
+        wrong = vectors.where(F.col("vec").isNull() | (F.size("vec") != n)).limit(1).collect()
+        if wrong:
+            raise A.QueryError(f"<{predicate}> takes vectors of {n} numbers")
+        text = F.array_join(F.transform("vec", lambda x: F.format_string("%.6f", x.cast("double"))), " ")
+        rows = vectors.select("s", F.lit(predicate).alias("p"), F.concat(F.lit('"'), text, F.lit(f'"^^<{self.vocabulary}f32vec>')).alias("o"))
+        return self.insert(rows)
+
+    def index_vectors(self, predicate: str, m: int = 16) -> DataFrame:
+        """Puts the neighbour graph of a vector predicate among the statements: hnswHorizontalNeighbor on one layer, hnswLayerDescend from a node
+        to itself for each layer it leaves, hnswNeighbor for either. Returns its edges with layers and similarities."""
+        v = cut(Compiler(self).vectors(predicate).df.select(F.col("node").alias("id"), "vec").where("vec is not null").dropDuplicates(["id"]))
+        edges = cut(vector.knn_edges(v, m))
+        tops = edges.groupBy(F.col("src").alias("s")).agg(F.max("layer").alias("top")).where("top > 0").select("s", F.col("s").alias("o"))
+        flat = edges.select(F.col("src").alias("s"), F.col("dst").alias("o")).distinct()
+        name = lambda n: F.lit(self.vocabulary + n)
+        rows = flat.select("s", name("hnswHorizontalNeighbor").alias("p"), "o").unionByName(tops.select("s", name("hnswLayerDescend").alias("p"), "o")).unionByName(flat.unionByName(tops).select("s", name("hnswNeighbor").alias("p"), "o"))
+        self.insert(rows)
+        return edges
+
     # queries
 
     def query(self, q: A.Query) -> DataFrame:
@@ -69,6 +139,31 @@ class Graph:
     def sparql(self, text: str) -> DataFrame:
         return self.query(parse(text, self.prefixes))
 
+    def rows(self, text: str, timeout: float | None = None) -> list:
+        """All solutions; a query that takes longer than timeout seconds is stopped and raises TimeoutError."""
+        sc = self.spark.sparkContext
+        group = f"thistle-{uuid.uuid4().hex}"
+        late = threading.Event()
+
+        def stop() -> None:
+            late.set()
+            sc.cancelJobGroup(group)
+
+        timer = threading.Timer(timeout, stop) if timeout else None
+        sc.setJobGroup(group, text[:100], True)
+        try:
+            if timer:
+                timer.start()
+            return self.sparql(text).collect()
+        except Exception:
+            if late.is_set():
+                raise TimeoutError(f"stopped after {timeout} s") from None
+            raise
+        finally:
+            if timer:
+                timer.cancel()
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
     def ask(self, text: str) -> bool:
         return self.sparql(text).first()["result"]
 
@@ -120,7 +215,7 @@ class Graph:
         self.triples = new if self.triples is None else cut(self.triples.select("s", "p", "o").unionByName(new))
         if quoted is not None:
             self.quoted = cut((quoted if self.quoted is None else self.quoted.unionByName(quoted)).distinct())
-        self._annotated = None
+        self._changed()
         return new.count()
 
     def delete(self, data: DataFrame) -> int:
@@ -128,7 +223,7 @@ class Graph:
             return 0
         gone = self.triples.join(data.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_semi").count()
         self.triples = cut(self.triples.join(data.select("s", "p", "o"), ["s", "p", "o"], "left_anti"))
-        self._annotated = None
+        self._changed()
         return gone
 
 

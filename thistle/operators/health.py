@@ -37,6 +37,22 @@ def index_health(nodes: DataFrame, edges: DataFrame, m: int = 16) -> DataFrame:
     return nodes.sparkSession.createDataFrame([row], schema)
 
 
+def report(graph) -> dict:
+    """Numbers of statements, predicates and found tables, the neighbour index if there is one, and the worst status of the parts."""
+    t = graph.triples
+    r = t.agg(F.count(F.lit(1)).alias("statements"), F.countDistinct("s").alias("subjects"), F.countDistinct("p").alias("predicates")).first().asDict()
+    literal_predicates = t.where(F.col("p").startswith('"') | F.col("p").startswith("_:")).limit(1).count()
+    out = {**r, "tables": len(graph.stars), "status": "critical" if literal_predicates else "healthy"}
+    near = t.where(F.col("p") == graph.vocabulary + "hnswHorizontalNeighbor")
+    if graph.vector_predicates() and not near.isEmpty():
+        edges = near.select(F.col("s").alias("src"), F.col("o").alias("dst"), F.lit(0).alias("layer"))
+        nodes = edges.select(F.col("src").alias("id")).distinct().withColumns({"layer": F.lit(0), "deleted": F.lit(False)})
+        out["index"] = index_health(nodes, edges).first().asDict()
+        if out["status"] == "healthy":
+            out["status"] = out["index"]["status"]
+    return out
+
+
 class QueryMetrics:
     """The last queries' times and rows: nearest-rank percentiles, by shape if wanted, and how far estimates were off."""
 

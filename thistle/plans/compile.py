@@ -283,6 +283,8 @@ class Compiler:
                     if self.g.could_hold([t]):
                         parts.append(self.scan_triples(s, [t]))
                     rels.append(self._one(parts, s, [t]))
+                if not self.g.tables and (one := self.scan_star(s, fixed)) is not None:
+                    rels[-len(fixed) :] = [one]
         for t in free:
             parts = [self.scan_any(m, s, t) for m in self.g.tables]
             if self.g.triples is not None:
@@ -386,13 +388,36 @@ class Compiler:
                 df = df.where(V.equal(Value(F.col(c), kind), V.constant(x)) if c == "o" else F.col(c) == x.value)
         return Rel(df.select(*out) if out else df.select(F.lit(True).alias("__unit")), kinds, size=m.size * len(m.props))
 
+    def scan_star(self, s: Any, triples: list[A.Triple]) -> Rel | None:
+        """Patterns of one subject over a table found among the statements, where its columns hold all of the predicates' statements."""
+        if self.scope is not None or len(triples) < 2 or any(not isinstance(t.p, A.Iri) for t in triples):
+            return None
+        for rows, columns in self.g.stars if self.g.merge_stars else []:
+            if not all(t.p.value in columns for t in triples):
+                continue
+            names: dict[str, str] = {s.name: "node"} if isinstance(s, A.Var) else {}
+            df = rows if names else rows.where(F.col("node") == constant_term(s))
+            size = self.g.size
+            for t in triples:
+                c = columns[t.p.value]
+                if not isinstance(t.o, A.Var):
+                    df, size = df.where(_q(c) == constant_term(t.o)), size / 20
+                elif t.o.name in names:
+                    df = df.where(_q(c) == _q(names[t.o.name]))
+                else:
+                    df = df.where(_q(c).isNotNull())
+                    names[t.o.name] = c
+            return Rel(df.select(*(_q(c).alias(n) for n, c in names.items())) if names else df.select(F.lit(True).alias("__unit")), dict.fromkeys(names, "term"), size=max(1, size / 100))
+        return None
+
     def scan_triples(self, s: Any, triples: list[A.Triple]) -> Rel | None:
-        """Patterns over the statement table, one scan each."""
-        done = None
+        """Patterns over the statement table, one scan each, unless a table found in it serves them all."""
+        if (done := self.scan_star(s, triples)) is not None:
+            return done
         for t in triples:
             df = self.g.statements(self.scope, self._visible)
             kinds, cols = {}, []
-            size = self.g.size
+            size = self.g.estimate(t.p.value if isinstance(t.p, A.Iri) else None)
             for x, c, kind in ((s, "s", "term"), (t.p, "p", "iri"), (t.o, "o", "term")):
                 if isinstance(x, A.Var):
                     if x.name in kinds:
@@ -402,7 +427,7 @@ class Compiler:
                     kinds[x.name] = kind
                     cols.append(F.col(c).alias(x.name))
                 else:
-                    size /= 20
+                    size /= 20 if c != "p" or not self.g.rows_of else 1
                     df = df.where(F.col(c) == constant_term(x))
             r = Rel(df.select(*cols) if cols else df.select(F.lit(True).alias("__unit")), kinds, size=max(1, size))
             done = r if done is None else self.join(done, r)
@@ -412,6 +437,9 @@ class Compiler:
 
     def path_pattern(self, r: Rel, t: A.Triple) -> Rel:
         if isinstance(t.p, A.Sequence):
+            kept = self.g.chains.get(tuple(x.value for x in t.p.steps)) if len(t.p.steps) == 2 and all(isinstance(x, A.Iri) for x in t.p.steps) and self.scope is None and not self.g.tables else None
+            if kept is not None:
+                return self.join(r, self._pairs(kept.select(F.col("s").alias("src"), F.col("o").alias("dst")), t))
             parts, at = [], t.s
             for k, step in enumerate(t.p.steps):
                 to = t.o if k == len(t.p.steps) - 1 else A.Var(self.name("m"))
@@ -474,6 +502,11 @@ class Compiler:
             pairs = pairs.unionByName(zero.select("src", F.col("src").alias("dst"))).distinct()
         if backwards:
             pairs = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        return self._pairs(pairs, t)
+
+    @staticmethod
+    def _pairs(pairs: DataFrame, t: A.Triple) -> Rel:
+        """(src, dst) pairs as solutions of a pattern's ends."""
         kinds, cols = {}, []
         for x, c in ((t.s, "src"), (t.o, "dst")):
             if not isinstance(x, A.Var):
