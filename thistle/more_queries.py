@@ -59,14 +59,14 @@ text_query("path_star", classes, "SELECT ?a ?b WHERE { ?a rdfs:subClassOf* ?b }"
 text_query("path_zero_or_one", classes, "SELECT ?a ?b WHERE { ?a rdfs:subClassOf? ?b }", _R + "SELECT a, b FROM e UNION SELECT a, a FROM n")
 text_query("path_sequence", classes, "SELECT ?a ?b WHERE { ?a rdfs:subClassOf/rdfs:subClassOf ?b }", _R + "SELECT x.a, y.b FROM e x JOIN e y ON x.b = y.a")
 text_query("path_reverse", classes, "SELECT ?a WHERE { ?a rdfs:subClassOf+ kgc:C500 }", _R + f"SELECT a FROM r WHERE b = '{ROOT}'")
-text_query("path_constant_start", classes, "SELECT ?b WHERE { kgc:C520 rdfs:subClassOf* ?b }", _R + f"SELECT b FROM r WHERE a = '{PREFIXES['kgc']}C520' UNION SELECT '{PREFIXES['kgc']}C520'")
+text_query("path_constant_start", classes, "SELECT ?b WHERE { kgc:C612 rdfs:subClassOf* ?b }", _R + f"SELECT b FROM r WHERE a = '{PREFIXES['kgc']}C612' UNION SELECT '{PREFIXES['kgc']}C612'")
 text_query("path_inverse_alternative", classes, "SELECT ?a ?b WHERE { ?a (^rdfs:subClassOf|rdfs:subClassOf) ?b }", _R + "SELECT a, b FROM e UNION ALL SELECT b, a FROM e")
 text_query("path_loop", classes, "SELECT ?a WHERE { ?a rdfs:subClassOf+ ?a }", _R + "SELECT a FROM r WHERE a = b")
 text_query("path_joined", classes, "SELECT ?a ?b WHERE { ?a rdfs:subClassOf kgc:C500 . ?b rdfs:subClassOf+ ?a }", _R + f"SELECT x.a, r.a AS b FROM e x JOIN r ON r.b = x.a WHERE x.b = '{ROOT}'")
 text_query("path_until", classes, 'SELECT ?a ?b WHERE { ?a rdfs:subClassOf+ ?b UNTIL(REGEX(STR(?b), "[05]$")) }',
            _E + "r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a WHERE NOT regexp_matches(r.b, '[05]$')) SELECT a, b FROM r WHERE regexp_matches(b, '[05]$')")
-text_query("path_star_until", classes, 'SELECT ?b WHERE { kgc:C520 rdfs:subClassOf* ?b UNTIL(EXISTS { ?b rdfs:subClassOf kgc:C500 }) }',
-           _E + f"""t AS (SELECT a FROM e WHERE b = '{ROOT}'), r AS (SELECT '{PREFIXES['kgc']}C520' AS b UNION SELECT e.b FROM r JOIN e ON r.b = e.a WHERE r.b NOT IN (SELECT a FROM t)) SELECT b FROM r WHERE b IN (SELECT a FROM t)""")
+text_query("path_star_until", classes, "SELECT ?a ?b WHERE { ?a rdfs:subClassOf+ kgc:C500 . ?a rdfs:subClassOf* ?b UNTIL(EXISTS { ?b rdfs:subClassOf kgc:C500 }) }",
+           _R + f""", t AS (SELECT a FROM e WHERE b = '{ROOT}'), w AS (SELECT DISTINCT a, a AS b FROM r WHERE b = '{ROOT}' UNION SELECT w.a, e.b FROM w JOIN e ON w.b = e.a WHERE w.b NOT IN (SELECT a FROM t)) SELECT a, b FROM w WHERE b IN (SELECT a FROM t)""")
 
 
 # vectors

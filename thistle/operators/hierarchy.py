@@ -17,12 +17,12 @@ class Hierarchy:
     cyclic: DataFrame
 
 
-def double_pointers(edges: DataFrame, nodes: DataFrame, targets: str = "roots", paths: bool = False) -> Hierarchy:
+def double_pointers(edges: DataFrame, nodes: DataFrame, targets: str = "roots", paths: bool = False, loops: bool = True) -> Hierarchy:
     """All targets each node reaches upwards, with the fewest edges, and all nodes that lie on loops.
 
     edges: hier, child, parent (repeats and nulls allowed, they count once or not at all). nodes: hier, node. targets: "roots" (nodes
     without an edge to a parent; each reaches itself at 0) or "all" (every ancestor). paths: also the shortest path from node to target as
-    an array, the smallest of several in order of its names.
+    an array, the smallest of several in order of its names. loops: whether to look for the nodes on loops.
 
     After round k a jump joins a node with each ancestor exactly 2^k edges up, and `reached` holds every target less than 2^k edges up.
     One join of the jumps with jumps and reached targets doubles both. Nodes that still have jumps when the set of such nodes no longer
@@ -70,7 +70,7 @@ def double_pointers(edges: DataFrame, nodes: DataFrame, targets: str = "roots",
             break
         forget(last_open)
     result = state.where("not jump").select("hier", "node", "target", F.col("d").alias("node_depth"), *(["path"] if paths else []))
-    if not jumps:
+    if not jumps or not loops:
         return Hierarchy(result, spark.createDataFrame([], n.schema))
     return Hierarchy(result, _on_loops(e, state.where("jump")))
 

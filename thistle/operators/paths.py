@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..runtime import cut, forget
+from .hierarchy import double_pointers
 
 DEPTH = 50
 
@@ -15,10 +16,17 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, depth: int = DEPTH
     """(src, dst): each node reachable from each start over one or more edges, once; the start itself only if it lies on a loop.
 
     edges: src, dst. seeds: src, the starts (all sources where None). stop: node, where a walk ends: then only nodes of stop are given, and
-    nothing behind them is searched. Rounds go outward edge by edge, all starts at once, until nothing new is reached or `depth` is hit, of
-    which a warning tells. Nulls are no nodes.
+    nothing behind them is searched. Nulls are no nodes.
+
+    From all sources pointers are doubled, in a number of rounds logarithmic in the longest way. From given starts, or with an exit, rounds
+    go outward edge by edge, all starts at once, until nothing new is reached or `depth` is hit, of which a warning tells.
     """
     e = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
+    if seeds is None and stop is None:
+        one = F.lit("").alias("hier")
+        every = double_pointers(e.select(one, F.col("src").alias("child"), F.col("dst").alias("parent")), e.select(one, F.explode(F.array("src", "dst")).alias("node")), targets="all", loops=False)
+        onward = every.reached.select(F.col("node").alias("mid"), F.col("target").alias("dst"))
+        return e.withColumnRenamed("dst", "mid").join(onward, "mid").select("src", "dst").distinct()
     front = e if seeds is None else e.join(seeds.where("src is not null").select("src").distinct(), "src", "left_semi")
     front = cut(front)
     reached = front
