@@ -105,6 +105,14 @@ def v11_knn_edges(spark: SparkSession, d: str) -> DataFrame:
     return vector.knn_edges(v, m=8)
 
 
+@query("""WITH s AS (SELECT a.vec_id AS src, b.vec_id AS dst, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)
+SELECT src, dst, 0 AS layer, round(sim, 6) AS similarity FROM s QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 16""")
+def v11_bottom_layer(spark: SparkSession, d: str) -> DataFrame:
+    """The bottom layer alone, every cell compared, so exact."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return vector.knn_edges(v, m=8, layer_of=F.lit(0), probes=4096).select("src", "dst", "layer", F.round("similarity", 6).alias("similarity"))
+
+
 def neighbour_graph(spark: SparkSession, d: str) -> Graph:
     g = tables_graph(spark, d, "embeddings")
     e = cut(v11_knn_edges(spark, d).where("layer = 0"))
