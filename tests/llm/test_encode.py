@@ -39,6 +39,14 @@ def test_round_trip(spark, texts):
     assert {r["doc_id"]: r["text"] for r in decode(e, "doc_id").collect()} == dict(enumerate(texts))
 
 
+def test_decode_of_nothing_and_of_the_unknown(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [50255])], "doc_id long, ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in decode(df, "doc_id").collect()}.keys() == {1, 2, 3}
+    assert decode(df.where("doc_id < 3"), "doc_id").where("text <> ''").count() == 0
+    with pytest.raises(Exception, match="(?i)index"):
+        decode(spark.createDataFrame([(1, [50256])], "doc_id long, ids array<int>"), "doc_id").collect()
+
+
 def test_counts_batches_and_empty(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
     try:

@@ -93,10 +93,33 @@ def pieces(spark: SparkSession, path: str = VOCABULARY) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(b)) for b, i in _ranks(path).items()], "id int, piece binary")
 
 
+def _by_id(path: str):
+    """Ids joined with the piece table by position: the table's ids are dense, so a piece is where its id says."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = "pieces " + path
+        if key not in _encoders:
+            ranks = _ranks(path)
+            table: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+            for piece, i in ranks.items():
+                table[i] = piece
+            _encoders[key] = (pa.array(table, pa.binary()),)
+        (table,) = _encoders[key]
+        for b in batches:
+            lists = b.column(1)
+            counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            offsets = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
+            parts = pa.ListArray.from_arrays(offsets, table.take(lists.flatten()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pc.binary_join(parts, b"").cast(pa.string())], names=["id", "text"])
+
+    return run
+
+
 def decode(encoded: DataFrame, id_column: str, path: str = VOCABULARY) -> DataFrame:
-    """(id, text) from (id, ids), by a join of positions with the piece table (its size is the vocabulary's, so it may be broadcast)."""
-    at = encoded.select(id_column, F.posexplode("ids").alias("pos", "id_"))
-    found = at.join(F.broadcast(pieces(encoded.sparkSession, path).withColumnRenamed("id", "id_")), "id_")
-    whole = found.groupBy(id_column).agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("parts"))
-    text = F.decode(F.unhex(F.array_join(F.transform("parts", lambda x: F.hex(x["piece"])), "")), "UTF-8")
-    return encoded.select(id_column).join(whole, id_column, "left").select(id_column, F.coalesce(text, F.lit("")).alias("text"))
+    """(id, text) from (id, ids), by a join of the ids with the piece table; null ids give an empty text, an id outside the vocabulary fails.
+
+    No shuffle: the table has the vocabulary's fixed size, so each worker holds it.
+    """
+    kind = encoded.schema[id_column].dataType.simpleString()
+    out = map_arrow(encoded.select(F.col(id_column).alias("id"), "ids"), _by_id(path), f"id {kind}, text string")
+    return out.withColumnRenamed("id", id_column)

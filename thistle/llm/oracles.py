@@ -31,13 +31,17 @@ m AS (SELECT doc_id, count(DISTINCT j) AS rep FROM (SELECT doc_id, unnest(range(
 s AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(rep, 0) AS rep_words FROM w LEFT JOIN m ON m.doc_id = w.doc_id)
 """
 
+_P6 = """WITH u AS (SELECT triple_id, CAST(vec AS DOUBLE[]) AS v FROM hnsw_nodes WHERE deleted = false AND len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+s AS (SELECT a.triple_id AS a, b.triple_id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM u a JOIN u b ON a.triple_id <> b.triple_id),
+best AS (SELECT a, b, sim FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 10)
+"""
+
 ORACLES = {
     "p4_found": _P4 + "SELECT least(eval_id, train_id) AS stmt_id_a, greatest(eval_id, train_id) AS stmt_id_b FROM pairs",
     "p4_per_split": _P4 + "SELECT split_name, source, count(DISTINCT eval_id) AS statements, count(*) AS pairs FROM pairs JOIN triples ON stmt_id = eval_id GROUP BY 1, 2",
-    "p6_found": """WITH u AS (SELECT triple_id, CAST(vec AS DOUBLE[]) AS v FROM hnsw_nodes WHERE deleted = false AND len(vec) = 64 AND len(list_filter(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
-s AS (SELECT a.triple_id AS a, b.triple_id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM u a JOIN u b ON a.triple_id <> b.triple_id),
-best AS (SELECT a, b, sim FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 10)
-SELECT DISTINCT least(a, b) AS triple_id_a, greatest(a, b) AS triple_id_b FROM best WHERE sim >= 0.8""",
+    "p6_found": _P6 + "SELECT DISTINCT least(a, b) AS triple_id_a, greatest(a, b) AS triple_id_b FROM best WHERE sim >= 0.8",
+    # exact, as the query is where all vectors together are fewer than its candidates
+    "p6_neighbours": _P6 + "SELECT a AS id, b AS other, round(sim, 6) AS similarity FROM best WHERE a % 50 = 0",
     "p7_found": _P7 + "SELECT * FROM (SELECT field, term, CASE WHEN records >= 0.01 * (SELECT count(*) FROM triples) THEN 'common' WHEN records <= 2 THEN 'rare' END AS mark FROM c) WHERE mark IS NOT NULL",
     "p7_counts": _P7 + "SELECT * FROM c",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

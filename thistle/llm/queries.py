@@ -43,7 +43,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar of every node whose triple_id is divisible by 50, against all, however far."""
     nodes = knn.usable(table(spark, d, "hnsw_nodes").where(~F.col("deleted")), "triple_id", "vec")
-    return knn.neighbours(nodes, nodes.where("id % 50 = 0"), share=0.25)
+    near = knn.neighbours(nodes, nodes.where("id % 50 = 0"), share=0.25)
+    return near.select("id", "other", F.round("similarity", 6).alias("similarity"))
 
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
