@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from thistle.llm.overlap import cross_split_pairs
+from thistle.llm.overlap import _needed, _sizes, cross_split_pairs
 
 T = "stmt_id long, s string, p string, o string, split_name string, hashes string, h1 long, value_type string, val int"
 PRED = [("http://kg.example/prop/n", "integer"), ("http://kg.example/prop/k", "entity"), ("http://kg.example/prop/t", "text")]
@@ -46,11 +46,25 @@ def test_text_against_brute_force(spark):
     facts += [("kge:a", "kgp:t", '"... 12"', "train"), ("kge:a", "kgp:t", '""', "test")]
     sets = [{w.lower() for w in f[2][1:].split('"')[0].split() if w.isalpha()} for f in facts]
     want = sorted((i, j) for i, f in enumerate(facts) if f[3] != "train" for j, g in enumerate(facts) if g[3] == "train" and sets[i] and len(sets[i] & sets[j]) * 10 >= 7 * len(sets[i] | sets[j]))
-    for gram in (None, 1, 2, 3):
+    for gram in (None, 1, 2, 3, 4):
         assert run(spark, facts, gram=gram) == want
 
 
+def test_every_pair_of_sizes_is_matched_by_something():
+    """For all sizes and overlaps at the threshold: both sets take combinations of one size, and the needed words hold one."""
+    for similarity in (0.5, 0.7, 0.8, 0.95):
+        for gram in (1, 2, 3, 4):
+            for a in range(1, 110):
+                for b in range(a, int(a / similarity + 1e-9) + 1):
+                    least = min(o for o in range(1, a + 1) if o >= similarity * (a + b - o) - 1e-9) if a >= similarity * b - 1e-9 else None
+                    if least is None:
+                        continue
+                    both = _sizes(a, similarity, gram) & _sizes(b, similarity, gram)
+                    assert both and min(both) <= min(_needed(a, similarity), _needed(b, similarity)) and least >= max(_needed(a, similarity), _needed(b, similarity))
+
+
 def test_long_text_and_empty_table(spark):
     long = [f"x{''.join(chr(97 + int(c)) for c in str(i))}" for i in range(3000)]
-    assert run(spark, [("kge:a", "kgp:t", text(long), "train"), ("kge:b", "kgp:t", text(long[::-1]), "test")], gram=1) == [(1, 0)]
+    facts = [("kge:a", "kgp:t", text(long), "train"), ("kge:b", "kgp:t", text(long[::-1]), "test"), ("kge:b", "kgp:t", text(long[:2100]), "test"), ("kge:b", "kgp:t", text(long[:2099]), "valid")]
+    assert run(spark, facts) == [(1, 0), (2, 0)]
     assert run(spark, []) == []

@@ -35,20 +35,40 @@ def _needed(n: int, similarity: float) -> int:
     return max(1, ceil(similarity * n - 1e-9))
 
 
+#: Sets of this many words are matched by single words: they have too many combinations, and single rare words suffice.
+LONG = 64
+
+
+def _sizes(n: int, similarity: float, gram: int) -> set[int]:
+    """How many words the combinations of a set of n have: for every size that a similar set may have, what both can be matched by."""
+
+    def own(m: int) -> int:
+        return 1 if m >= LONG else min(gram, _needed(m, similarity))
+
+    if own(n) == 1:
+        return {1}
+    return {min(own(n), own(m)) for m in range(max(1, ceil(similarity * n - 1e-9)), int(n / similarity + 1e-9) + 1)}
+
+
 def _grams(common: dict[int, int], similarity: float, gram: int):
-    """Of each word set the gram-word combinations of its rarest words, hashed; sets too small for that give their whole.
+    """Of each word set the combinations of its rarest words, hashed.
 
-    Two sets with Jaccard similarity of at least `similarity` share at least needed(n) words each, so that at least `gram` of the shared
-    ones are among the first n - needed(n) + gram of either in any order common to both: they share a combination. So no pair is lost.
+    Two sets with Jaccard similarity of at least `similarity` share at least needed(n) words each, so that at least g of the shared
+    ones are among the first n - needed(n) + g of either in any order common to both: they share a combination of g. Both take the g that
+    fits the pair among their sizes, so no pair is lost.
     """
+    sizes: dict[int, set[int]] = {}
 
     def signatures(hashes: np.ndarray) -> set[int]:
         n = len(hashes)
-        need = _needed(n, similarity)
-        g = min(gram, need)
-        ranked = sorted((common.get(h, 0), h) for h in hashes.tolist())[: n - need + g]
-        first = sorted(h for _, h in ranked)
-        return {hash((g, *c)) for c in combinations(first, g)}
+        if n not in sizes:
+            sizes[n] = _sizes(n, similarity, gram)
+        ranked = sorted((common.get(h, 0), h) for h in hashes.tolist())
+        out: set[int] = set()
+        for g in sizes[n]:
+            first = sorted(h for _, h in ranked[: n - _needed(n, similarity) + g])
+            out |= {hash((g, *c)) for c in combinations(first, g)}
+        return out
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
