@@ -77,6 +77,18 @@ def test_vectors(spark):
     assert ask(g, f"SELECT ?b WHERE {{ ex:d3 tv:hnswNeighbor+ ?b BEAM({q}, 2) }}") == [("d1",), ("d2",)]
     assert ask(g, "SELECT ?b WHERE { ex:d3 tv:hnswLayerDescend*/tv:hnswHorizontalNeighbor+ ?b }") == [("d1",), ("d2",), ("d3",)]
     assert health.report(g)["index"]["active"] == 3
+    g.insert_vectors(EX + "v", rows(("d9", [0.1, 1.0])))
+    edges = g.index_vectors(EX + "v", m=1)
+    # nothing of the earlier index is left
+    assert ask(g, "SELECT ?a ?b WHERE { ?a tv:hnswHorizontalNeighbor ?b }") == sorted({(r["src"].removeprefix(EX), r["dst"].removeprefix(EX)) for r in edges.collect()}, key=repr)
+    assert {r["dst"].removeprefix(EX) for r in edges.where("layer = 0").collect() if r["src"] == EX + "d3"} == {"d2", "d9"}
+
+
+def test_vectors_of_quoted_statements(spark):
+    edge = ("ada", "knows", "bob")
+    g = graph(spark, [edge, (edge, "v", '"1 0"^^<http://thistle.example/vocab#f32vec>'), (("bob", "knows", "cy"), "v", '"0 1"^^<http://thistle.example/vocab#f32vec>')], vectors={EX + "v": "cosine"})
+    assert ask(g, 'SELECT ?s ?o WHERE { << ?s ?p ?o >> ex:v ?x . VECTOR_SIMILAR(<< ?s ?p ?o >> ex:v "1 0.1"^^tv:f32vec, 0.9) }') == [("ada", "bob")]
+    assert ask(g, 'SELECT ?o WHERE { VECTOR_SIMILAR(<< ex:bob ?p ?o >> ex:v "0 1"^^tv:f32vec, 0.9) }') == [("cy",)]
 
 
 def test_timeout(spark):

@@ -121,13 +121,14 @@ class Graph:
 
     def index_vectors(self, predicate: str, m: int = 16) -> DataFrame:
         """Puts the neighbour graph of a vector predicate among the statements: hnswHorizontalNeighbor on one layer, hnswLayerDescend from a node
-        to itself for each layer it leaves, hnswNeighbor for either. Returns its edges with layers and similarities."""
+        to itself for each layer it leaves, hnswNeighbor for either. An earlier index goes. Returns the edges with layers and similarities."""
         v = cut(Compiler(self).vectors(predicate).df.select(F.col("node").alias("id"), "vec").where("vec is not null").dropDuplicates(["id"]))
         edges = cut(vector.knn_edges(v, m))
         tops = edges.groupBy(F.col("src").alias("s")).agg(F.max("layer").alias("top")).where("top > 0").select("s", F.col("s").alias("o"))
         flat = edges.select(F.col("src").alias("s"), F.col("dst").alias("o")).distinct()
         name = lambda n: F.lit(self.vocabulary + n)
         rows = flat.select("s", name("hnswHorizontalNeighbor").alias("p"), "o").unionByName(tops.select("s", name("hnswLayerDescend").alias("p"), "o")).unionByName(flat.unionByName(tops).select("s", name("hnswNeighbor").alias("p"), "o"))
+        self.triples = cut(self.triples.where(~F.col("p").isin(*(self.vocabulary + n for n in ("hnswHorizontalNeighbor", "hnswLayerDescend", "hnswNeighbor")))))
         self.insert(rows)
         return edges
 
