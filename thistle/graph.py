@@ -148,14 +148,19 @@ class Graph:
 
         def stop() -> None:
             late.set()
-            sc.cancelJobGroup(group)
+            sc._jsc.sc().cancelJobGroupAndFutureJobs(group)  # a query is several jobs
 
         timer = threading.Timer(timeout, stop) if timeout else None
         sc.setJobGroup(group, text[:100], True)
         try:
             if timer:
                 timer.start()
-            return self.sparql(text).collect()
+            found = self.sparql(text).collect()
+            if late.is_set():
+                raise TimeoutError(f"stopped after {timeout} s")
+            return found
+        except TimeoutError:
+            raise
         except Exception:
             if late.is_set():
                 raise TimeoutError(f"stopped after {timeout} s") from None

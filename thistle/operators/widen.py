@@ -75,7 +75,7 @@ def widen(triples: DataFrame, predicates: DataFrame) -> DataFrame:
     """One row per entity: ordinal, s, and one typed column per declared predicate of a simple type, named by its IRI's last part.
 
     Global ordinals are ranges, one per partition (partition number times 2^33 plus position), so no pass over the data is needed to number
-    the entities. Clashing names are numbered (x, x_2). The columns come from the declared predicates, which must be few (they are columns);
+    the entities; they hold within one evaluation, so a table that is read twice should be written first. Clashing names are numbered (x, x_2). The columns come from the declared predicates, which must be few (they are columns);
     more than 10,000 raise ValueError. Entities without a valid value get no row; a column without values is null throughout.
     """
     declared = predicates.where(F.col("value_type").isin(*SIMPLE)).select("pred_iri", "value_type").distinct().orderBy("pred_iri").limit(10_001).collect()
