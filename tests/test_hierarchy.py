@@ -4,6 +4,8 @@ from collections import defaultdict
 
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from thistle.operators.hierarchy import double_pointers
 
 EDGE, NODE = "hier string, child string, parent string, node string", "hier string, node string"
@@ -60,6 +62,19 @@ def test_long_way_out_of_a_loop(spark):
     check(spark, [("a", "b"), ("b", "a"), ("b", "c0")] + [(f"c{i}", f"c{i + 1}") for i in range(21)])
 
 
+def test_long_loops(spark):
+    ring = lambda n, k: [(f"{n}{i}", f"{n}{(i + 1) % k}") for i in range(k)]
+    check(spark, ring("a", 90) + ring("b", 2) + ring("c", 31) + [("c7", "d0"), ("d0", "d1"), ("d1", "d2"), ("d2", "c9")] + [("x0", "c3"), ("c4", "y0"), ("y0", "y1"), ("y1", "a5"), ("b1", "b1"), ("a9", "root")])
+
+
+def test_a_ring_of_many(spark):
+    n = 20_000
+    ids = spark.range(n)
+    e = ids.select(F.lit("h").alias("hier"), F.col("id").cast("string").alias("child"), ((F.col("id") + 1) % n).cast("string").alias("parent"))
+    h = double_pointers(e, e.select("hier", F.col("child").alias("node")))
+    assert h.cyclic.count() == n and h.reached.count() == 0
+
+
 def test_empty(spark):
     reached, cyclic = run(spark, [("only", None)])
     assert [(r["node"], r["target"], r["node_depth"]) for r in reached] == [("only", "only", 0)] and cyclic == set()

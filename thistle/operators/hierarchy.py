@@ -75,15 +75,45 @@ def double_pointers(edges: DataFrame, nodes: DataFrame, targets: str = "roots",
     return Hierarchy(result, _on_loops(e, state.where("jump")))
 
 
+def _settled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of nodes with one link each: (hier, node, end), the first node without a link that theirs lead to, and (hier, node) of those that never
+    come to one. links: hier, node, to. Pointers are doubled until the open ones no longer get fewer."""
+    state = cut(links.join(links.select("hier", F.col("node").alias("to"), F.lit(True).alias("open")), ["hier", "to"], "left").select("hier", "node", "to", F.coalesce("open", F.lit(False)).alias("open")))
+    left = -1
+    while (now := state.where("open").count()) not in (0, left):
+        left = now
+        ahead = state.select("hier", F.col("node").alias("to"), F.col("to").alias("further"), F.col("open").alias("still"))
+        moved = state.join(ahead, ["hier", "to"], "left")
+        old, state = state, cut(moved.select("hier", "node", F.when(F.col("open"), F.col("further")).otherwise(F.col("to")).alias("to"), (F.col("open") & F.coalesce("still", F.lit(False))).alias("open")))
+        forget(old)
+    return state.where("not open").select("hier", "node", F.col("to").alias("end")), state.where("open").select("hier", "node")
+
+
 def _on_loops(e: DataFrame, jumps: DataFrame) -> DataFrame:
-    """Nodes on loops, among those that both begin and end a jump of the last round: what is left of the edges between these is closed."""
+    """Nodes on loops, among those that both begin and end a jump of the last round.
+
+    Nodes with one edge in and one out only pass a way on. Runs of them are found by doubling: those without an end are loops, all others
+    become one edge. Only the rest, the nodes where ways meet or part, is closed.
+    """
     core = cut(jumps.select("hier", "node").distinct().join(jumps.select("hier", F.col("target").alias("node")).distinct(), ["hier", "node"], "left_semi"))
     inner = e.join(core.select("hier", F.col("node").alias("child")), ["hier", "child"], "left_semi").join(core.select("hier", F.col("node").alias("parent")), ["hier", "parent"], "left_semi")
-    close = cut(inner.select("hier", F.col("child").alias("a"), F.col("parent").alias("b")))
+    inner = cut(inner.select("hier", F.col("child").alias("a"), F.col("parent").alias("b")))
+    own = inner.where("a = b").select("hier", F.col("a").alias("node"))
+    inner = inner.where("a <> b")
+    one = lambda side, other, name: inner.groupBy("hier", F.col(side).alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min(other).alias(name)).where("n = 1").drop("n")
+    passing = cut(one("a", "b", "up").join(one("b", "a", "down"), ["hier", "node"]))
+    ends, rings = _settled(passing.select("hier", "node", F.col("up").alias("to")))
+    starts, _ = _settled(passing.select("hier", "node", F.col("down").alias("to")))
+    meet = inner.join(passing.select("hier", F.col("node").alias("a")), ["hier", "a"], "left_anti")
+    short = meet.join(ends.select("hier", F.col("node").alias("b"), "end"), ["hier", "b"], "left").select("hier", "a", F.coalesce("end", "b").alias("b"))
+    short = short.join(rings.select("hier", F.col("node").alias("b")), ["hier", "b"], "left_anti")
+    close = cut(short.select("hier", "a", "b").distinct())
     size = -1
     while (now := close.count()) != size:
         size = now
         twice = close.select("hier", "a", F.col("b").alias("m")).join(close.select("hier", F.col("a").alias("m"), "b"), ["hier", "m"]).select("hier", "a", "b")
         old, close = close, cut(close.unionByName(twice).distinct())
         forget(old)
-    return close.where("a = b").select("hier", F.col("a").alias("node"))
+    runs = starts.withColumnRenamed("end", "b").join(ends.withColumnRenamed("end", "a"), ["hier", "node"])
+    on_run = runs.where("a = b").select("hier", "node").unionByName(runs.join(close, ["hier", "a", "b"]).select("hier", "node"))
+    return close.where("a = b").select("hier", F.col("a").alias("node")).unionByName(on_run).unionByName(rings).unionByName(own).distinct()
