@@ -123,7 +123,7 @@ def neighbour_graph(spark: SparkSession, d: str) -> Graph:
 
 @query()
 def path_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """From every vector of one label greedily towards vector 0; the reference of tests is brute force."""
+    """From every vector of one label greedily towards vector 0; the tests compare the walk with brute force."""
     return neighbour_graph(spark, d).sparql(f'SELECT ?a ?b WHERE {{ ?a ex:label 3 . ?a tv:hnswNeighbor+ ?b GREEDY("{vector_text(spark, d)}"^^tv:f32vec) }}')
 
 
