@@ -137,3 +137,23 @@ def test_knn_edges_are_exact_while_small(spark):
     above = {r["src"] for r in e if r["layer"] == 1}
     assert above and all(r["dst"] in above for r in e if r["layer"] == 1)
     assert vector.knn_edges(df.limit(0)).count() == 0
+
+
+def test_knn_edges_are_exact_with_many_cells(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(900, 32))
+    x[700:720], x[720:740] = x[0], 0
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    sims = np.round(u @ u.T, 9)
+    df = spark.createDataFrame([(i, [float(y) for y in row]) for i, row in enumerate(x)], "id long, vec array<double>")
+    for options in ({}, {"block": 70}):
+        got = {}
+        for e in vector.knn_edges(df, m=4, per_cell=20, **options).collect():
+            got.setdefault((e["layer"], e["src"]), []).append((-round(e["similarity"], 9), e["dst"]))
+        assert len([i for layer, i in got if layer == 0]) == 900 and max(layer for layer, _ in got) > 1
+        for layer in {k for k, _ in got}:
+            nodes = [i for k, i in got if k == layer]
+            for i in nodes:
+                # no other similarity among its own than brute force has; ties may be taken either way where rounding parts them
+                want = sorted(-sims[i, j] for j in nodes if j != i)[: 8 if layer == 0 else 4]
+                assert [s for s, _ in sorted(got[layer, i])] == want and all(-s == sims[i, j] for s, j in got[layer, i])
