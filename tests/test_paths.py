@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from thistle.more_queries import path_beam
 from thistle.operators import paths, vector
 from thistle.plans.mapping import map_table
 from thistle.graph import Graph
@@ -157,3 +158,17 @@ def test_knn_edges_are_exact_with_many_cells(spark):
                 # no other similarity among its own than brute force has; ties may be taken either way where rounding parts them
                 want = sorted(-sims[i, j] for j in nodes if j != i)[: 8 if layer == 0 else 4]
                 assert [s for s, _ in sorted(got[layer, i])] == want and all(-s == sims[i, j] for s, j in got[layer, i])
+
+
+def test_path_beam_starts_from_every_vector_of_the_label(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(160, 16)).astype(np.float32)
+    rows = [(i, i % 10, [float(y) for y in v]) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    s = u @ u.T
+    name = lambda i: f"http://ex.example/embeddings/{i}"
+    edges = {name(i): [name(j) for j in sorted(range(160), key=lambda j: -s[i, j]) if j != i][:16] for i in range(160)}
+    sims = {name(i): s[0, i] for i in range(160)}
+    want = {(name(i), b) for i in range(3, 160, 10) for b in best_first(edges, sims, name(i), 4)}
+    assert {tuple(r) for r in path_beam(spark, str(tmp_path)).collect()} == want

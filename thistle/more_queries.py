@@ -129,7 +129,7 @@ def path_greedy(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def path_beam(spark: SparkSession, d: str) -> DataFrame:
-    return neighbour_graph(spark, d).sparql(f'SELECT ?a ?b WHERE {{ ?a ex:label 3 ; ex:vec_id ?i . FILTER(?i < 60) ?a tv:hnswNeighbor+ ?b BEAM("{vector_text(spark, d)}"^^tv:f32vec, 4) }}')
+    return neighbour_graph(spark, d).sparql(f'SELECT ?a ?b WHERE {{ ?a ex:label 3 . ?a tv:hnswNeighbor+ ?b BEAM("{vector_text(spark, d)}"^^tv:f32vec, 4) }}')
 
 
 @query()
