@@ -62,6 +62,33 @@ def test_merging_is_largest_first_and_in_order():
     assert [(sorted(p), m) for p, m in got] == [(sorted(b), [2, 1]), (sorted(c), [0])]
 
 
+def test_merging_equals_a_scan_of_all_pairs():
+    r = random.Random(6)
+    groups = list({tuple(sorted(r.sample("abcdefghijkl", r.randint(1, 10)))): r.randint(1, 9) for _ in range(600)}.items())
+    order = sorted(range(len(groups)), key=lambda i: (-groups[i][1], groups[i][0]))
+    taken, want = set(), []
+    for at, i in enumerate(order):
+        if i not in taken:
+            props, members = set(groups[i][0]), [i]
+            for j in order[at + 1 :]:
+                other = set(groups[j][0])
+                if j not in taken and len(props & other) / len(props | other) >= proptable.SIMILAR:
+                    props |= other
+                    members.append(j)
+                    taken.add(j)
+            want.append((props, members))
+    assert len(want) < len(groups) and proptable.merge(groups) == want
+
+
+def test_discovery_of_any_number_of_signatures(spark):
+    pairs = [(i, j) for i in range(206) for j in range(i)]
+    many = spark.createDataFrame([(f"n{i}-{j}", f"p{k}", "o") for i, j in pairs for k in (i, j)], "s string, p string, o string")
+    facts = [(f"t{i}", f"q{k}", f"v{i}") for i in range(12) for k in range(5)]
+    found, members = proptable.discover(many.unionByName(spark.createDataFrame(facts, "s string, p string, o string")))
+    assert len(pairs) > 20_000
+    assert {t.nodes: [p for p, _ in t.columns] for t in found}[12] == [f">q{k}" for k in range(5)] and members.where("node like 't%'").count() == 12
+
+
 def test_deep(spark):
     facts = [f for i in range(60) for f in ((f"c{i}", "capital", f"t{i}"), (f"t{i}", "mayor", f"m{i}"), (f"t{i}", "size", i), (f"c{i}", "name", f"'n{i}"))]
     got = {r["path"].replace(EX, ""): (r["roots"], r["coverage"], r["fan_in"]) for r in proptable.deep(graph(spark, facts).triples).collect()}

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -33,47 +36,54 @@ def signatures(triples: DataFrame) -> DataFrame:
     return a.unionByName(b).distinct().groupBy("node").agg(F.array_sort(F.collect_list("prop")).alias("sig"))
 
 
-def merge(groups: list[tuple[tuple[str, ...], int]], similar: float = SIMILAR) -> list[tuple[set[str], list[int]]]:
+def merge(groups: Iterable[tuple[tuple[str, ...], int]], similar: float = SIMILAR) -> list[tuple[set[str], list[int]]]:
     """Groups of equal signatures, largest first (then by signature), each taking up all later ones whose Jaccard similarity with what it has
-    become is enough. (properties, numbers of the groups taken)"""
+    become is enough. (properties, numbers of the groups taken)
+
+    A group goes to the first of those before it that takes it, which is the same, as what these have become depends on earlier groups only.
+    One that takes it has at least the share `similar` of its properties, so it is among those that have one of the few rarest.
+    """
+    groups = list(groups)
     order = sorted(range(len(groups)), key=lambda i: (-groups[i][1], groups[i][0]))
-    taken: set[int] = set()
-    out = []
-    for k, i in enumerate(order):
-        if i in taken:
-            continue
-        props, members = set(groups[i][0]), [i]
-        for j in order[k + 1 :]:
-            if j in taken:
-                continue
-            other = set(groups[j][0])
-            either = len(props | other)
-            if either and len(props & other) / either >= similar:
-                props |= other
-                members.append(j)
-                taken.add(j)
-        out.append((props, members))
+    out: list[tuple[set[str], list[int]]] = []
+    having: dict[str, list[int]] = {}
+    for i in order:
+        sig = set(groups[i][0])
+        lists = sorted((having.get(p, []) for p in sig), key=len)[: len(sig) - max(ceil(similar * len(sig) - 1e-9), 1) + 1]
+        for k in sorted(set().union(*lists)):
+            props, members = out[k]
+            if len(props & sig) / len(props | sig) >= similar:
+                for p in sig - props:
+                    having.setdefault(p, []).append(k)
+                props |= sig
+                members.append(i)
+                break
+        else:
+            for p in sig:
+                having.setdefault(p, []).append(len(out))
+            out.append((sig, [i]))
     return out
 
 
-def discover(triples: DataFrame, most: int = 20_000) -> tuple[list[Found], DataFrame]:
+def discover(triples: DataFrame) -> tuple[list[Found], DataFrame]:
     """Tables of nodes, and (node, number) of the nodes in them.
 
-    Only signatures reach the driver, with their numbers of nodes: the `most` largest. Rarer ones take no part in merging, which the
-    first element of the result can't show, so a ValueError is raised where there are more; the caller may raise the bound.
+    Only the different signatures reach the driver, with their numbers of nodes, each property as one text; nothing else is held there.
     """
     sig = cut(signatures(triples))
     counts = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
-    rows = counts.orderBy(F.desc("n"), "sig").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} different signatures")
-    groups = [(tuple(r["sig"]), r["n"]) for r in rows]
+    names: dict[str, str] = {}
+    groups = [(tuple(names.setdefault(p, p) for p in r["sig"]), r["n"]) for r in cut(counts).toLocalIterator()]
     found, places = [], []
     for props, members in merge(groups):
         nodes = sum(groups[i][1] for i in members)
         if nodes < LEAST_NODES:
             continue
-        cover = sorted(((p, sum(groups[i][1] for i in members if p in groups[i][0]) / nodes) for p in props), key=lambda x: (-x[1], x[0]))
+        held: Counter[str] = Counter()
+        for i in members:
+            for p in groups[i][0]:
+                held[p] += groups[i][1]
+        cover = sorted(((p, held[p] / nodes) for p in props), key=lambda x: (-x[1], x[0]))
         core = [(p, c) for p, c in cover if c >= CORE]
         if len(core) < LEAST_CORE:
             continue
