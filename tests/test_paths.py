@@ -172,3 +172,9 @@ def test_path_beam_starts_from_every_vector_of_the_label(spark, tmp_path):
     sims = {name(i): s[0, i] for i in range(160)}
     want = {(name(i), b) for i in range(3, 160, 10) for b in best_first(edges, sims, name(i), 4)}
     assert {tuple(r) for r in path_beam(spark, str(tmp_path)).collect()} == want
+
+
+def test_paths_from_a_start_have_no_limit(spark):
+    g = graph(spark, [(f"c{i}", "p", f"c{i + 1}") for i in range(53)])
+    assert g.sparql("SELECT ?b WHERE { ex:c0 ex:p+ ?b }").count() == 53
+    assert g.sparql("SELECT ?b WHERE { ex:c0 ex:p+ ?b UNTIL(?b = ex:c53) }").count() == 1

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .operators import paths, proptable, vector
+from .operators import proptable, vector
 from .plans import ast as A
 from .plans.compile import Compiler
 from .plans.mapping import TableMap
@@ -26,7 +26,7 @@ class Graph:
 
     def __init__(
         self, spark: SparkSession, tables: list[TableMap] | None = None, triples: DataFrame | None = None, quoted: DataFrame | None = None,
-        vectors: dict[str, str] | None = None, vocabulary: str = A.VOCABULARY, prefixes: dict[str, str] | None = None, merge_stars: bool = True, depth: int = paths.DEPTH,
+        vectors: dict[str, str] | None = None, vocabulary: str = A.VOCABULARY, prefixes: dict[str, str] | None = None, merge_stars: bool = True, depth: int | None = None,
     ):
         self.spark, self.tables, self.triples, self.quoted = spark, tables or [], triples, quoted
         self.vocabulary, self.prefixes, self.merge_stars, self.depth = vocabulary, {"tv": vocabulary, **(prefixes or {})}, merge_stars, depth

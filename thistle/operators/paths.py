@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterable
+from itertools import count
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..runtime import cut, forget
 from .hierarchy import double_pointers
 
-DEPTH = 50
 
+def _rounds(depth: int | None) -> Iterable[int]:
+    return count(1) if depth is None else range(1, depth + 1)
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None, depth: int = DEPTH, stop: DataFrame | None = None) -> DataFrame:
+
+def closure(edges: DataFrame, seeds: DataFrame | None = None, depth: int | None = None, stop: DataFrame | None = None) -> DataFrame:
     """(src, dst): each node reachable from each start over one or more edges, once; the start itself only if it lies on a loop.
 
     edges: src, dst. seeds: src, the starts (all sources where None). stop: node, where a walk ends: then only nodes of stop are given, and
     nothing behind them is searched. Nulls are no nodes.
 
     From all sources pointers are doubled, in a number of rounds logarithmic in the longest way. From given starts, or with an exit, rounds
-    go outward edge by edge, all starts at once, until nothing new is reached or `depth` is hit, of which a warning tells.
+    go outward edge by edge, all starts at once, until nothing new is reached, or after `depth` edges where given, of which a warning tells.
     """
     e = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     if seeds is None and stop is None:
@@ -30,19 +34,21 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, depth: int = DEPTH
     front = e if seeds is None else e.join(seeds.where("src is not null").select("src").distinct(), "src", "left_semi")
     front = cut(front)
     reached = front
-    for _ in range(depth - 1):
+    for i in _rounds(None if depth is None else depth - 1):
         onward = front if stop is None else front.join(stop.select(F.col("node").alias("dst")), "dst", "left_anti")
         step = onward.select(F.col("src").alias("start"), F.col("dst").alias("src")).join(e, "src").select(F.col("start").alias("src"), "dst").distinct()
         new = cut(step.join(reached, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             break
         reached, front = reached.unionByName(new), new
+        if i % 20 == 0:
+            reached = cut(reached)
     else:
         warnings.warn(f"paths longer than {depth} edges were not followed", stacklevel=2)
     return reached if stop is None else reached.join(stop.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def greedy(edges: DataFrame, similarity: DataFrame, seeds: DataFrame, depth: int = DEPTH) -> DataFrame:
+def greedy(edges: DataFrame, similarity: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
     """(src, dst): where each start ends that goes on to its most similar neighbour while that is more similar than where it is.
 
     similarity: node, score. Starts without a score give nothing. Of equally similar neighbours the first by text is taken.
@@ -50,7 +56,7 @@ def greedy(edges: DataFrame, similarity: DataFrame, seeds: DataFrame, depth: int
     scored = edges.select("src", "dst").distinct().join(similarity.select(F.col("node").alias("dst"), "score"), "dst")
     best = cut(scored.groupBy("src").agg(F.max_by("dst", F.struct("score")).alias("d0"), F.max("score").alias("to")).join(scored, "src").where("score = to").groupBy("src").agg(F.min("dst").alias("next"), F.first("to").alias("to")))
     at = cut(seeds.select("src").distinct().join(similarity.select(F.col("node").alias("src"), "score"), "src").select("src", F.col("src").alias("dst"), "score"))
-    for _ in range(depth):
+    for _ in _rounds(depth):
         moved = at.join(best.select(F.col("src").alias("dst"), "next", "to"), "dst", "left")
         go = F.coalesce(F.col("to") > F.col("score"), F.lit(False))
         new = cut(moved.select("src", F.when(go, F.col("next")).otherwise(F.col("dst")).alias("dst"), F.when(go, F.col("to")).otherwise(F.col("score")).alias("score"), go.alias("moved")))
@@ -62,7 +68,7 @@ def greedy(edges: DataFrame, similarity: DataFrame, seeds: DataFrame, depth: int
     return at.select("src", "dst")
 
 
-def beam(edges: DataFrame, similarity: DataFrame, seeds: DataFrame, width: int, depth: int = 1000) -> DataFrame:
+def beam(edges: DataFrame, similarity: DataFrame, seeds: DataFrame, width: int, depth: int | None = None) -> DataFrame:
     """(src, dst): of each start up to `width` nodes, the most similar that a best-first search of that width meets.
 
     In a round every start still searching expands its most similar node not yet expanded, unless the width is filled with better ones.
@@ -72,7 +78,7 @@ def beam(edges: DataFrame, similarity: DataFrame, seeds: DataFrame, width: int,
     e = cut(edges.where("src <> dst").select(F.col("src").alias("node"), "dst").distinct().join(scores.select(F.col("node").alias("dst"), F.col("score").alias("to")), "dst"))
     state = cut(seeds.select("src").distinct().join(scores.select(F.col("node").alias("src"), "score"), "src").select("src", F.col("src").alias("node"), "score", F.lit(False).alias("spent"), F.lit(True).alias("kept")))
     order = W.partitionBy("src").orderBy(F.desc("score"), "node")
-    for _ in range(depth):
+    for _ in _rounds(depth):
         turn = state.where("kept and not spent").withColumn("r", F.row_number().over(order)).where("r = 1").select("src", "node")
         turn = cut(turn)
         if turn.isEmpty():
