@@ -4,20 +4,23 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: ``spark.checkpoint.dir``, or, where that is unset, one of our own."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``. Where that is unset, a folder of our own in local mode, and RuntimeError on a cluster."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="thistle-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -55,6 +58,13 @@ def cut(df: DataFrame, *keys: str) -> DataFrame:
     return back
 
 
+def cut_counted(df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+    """As cut(), with aggregates of the rows taken while they are written, without a job of their own."""
+    seen = Observation()
+    back = cut(df.observe(seen, *(c.alias(k) for k, c in aggregates.items())))
+    return back, seen.get
+
+
 def forget(df: DataFrame | None) -> None:
     """Deletes a table made by cut() that nothing reads any more."""
     path = getattr(df, "_thistle_path", None)
