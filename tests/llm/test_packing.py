@@ -6,7 +6,7 @@ from math import ceil
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from thistle.llm.packing import pack, plan
+from thistle.llm.packing import GAP, ITEM, MOVE, match, pack, recipe
 
 S = "doc_id long, tokens long, part int, container int, bucket int, r int"
 
@@ -62,13 +62,39 @@ def one_by_one(sizes, capacity):
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 50), max_size=300), st.integers(50, 60))
-def test_plan(sizes, capacity):
+def test_one_slice_is_best_fit(sizes, capacity):
     counts = Counter(sizes)
+    room = one_by_one(sizes, capacity)
     fill, ranks = Counter(), defaultdict(list)
-    for size, first, until, container in plan(dict(counts), capacity):
-        ranks[size] += range(first, until)
-        for k in range(until - first):
-            fill[container + k] += size
+    rows = match([(s, 0, n) for s, n in counts.items()], [(capacity, 0, room)] if room else [])
+    for kind, size, first, n, container, per in rows:
+        assert kind in (GAP, ITEM, MOVE)
+        if kind == MOVE:
+            assert n % per == 0
+            ranks[size] += range(first, first + n)
+            for k in range(n):
+                fill[container + k // per] += size
+        elif kind == ITEM:
+            ranks[size] += range(first, first + n)
     assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in counts.items()}
     assert all(v <= capacity for v in fill.values())
-    assert len(fill) <= 1 + 1.25 * one_by_one(sizes, capacity)
+    assert sum(r[1] * r[3] for r in rows if r[0] == ITEM) <= 0.05 * sum(sizes) + capacity
+    gaps = sum(r[1] * r[3] for r in rows if r[0] == GAP)
+    assert gaps == room * capacity - sum(fill.values())
+
+
+def test_slices_and_supersteps(spark):
+    """Many slices, several supersteps: every rank once, no container too full, at most one in a hundred above the least."""
+    counts = {s: 1 + (s * 7919) % 60 for s in range(1, 700, 3)} | {450: 9000, 2048: 5}
+    df = spark.createDataFrame(list(counts.items()), "size int, n long")
+    for per_slice in (20, 10_000):
+        fill, ranks = Counter(), defaultdict(list)
+        for r in recipe(df, 2048, per_slice=per_slice).collect():
+            ranks[r["size"]] += range(r["first"], r["first"] + r["n"])
+            for k in range(r["n"]):
+                fill[r["container"] + k // r["per"]] += r["size"]
+        assert {s: sorted(r) for s, r in ranks.items()} == {s: list(range(n)) for s, n in counts.items()}
+        assert max(fill.values()) <= 2048
+        # four of the hot size leave 248 each; the rest is some fifth of all
+        least = ceil(sum(s * n for s, n in counts.items()) / 2048)
+        assert len(fill) <= 1.1 * least
