@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 import re
 
-from thistle.llm.repetition import accuracies, features, judged
+from thistle.llm.repetition import RULES, accuracies, features, judged, repetitive
 
 S = "doc_id long, text string, n_words string, posterior string, w string"
 
@@ -43,29 +43,37 @@ def test_features_against_brute_force(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_filter_keeps_all_that_the_rule_names(spark):
-    rows = judged(frame(spark, texts()), "doc_id", "text").collect()
-    assert len(rows) == len(texts())
-    for r in rows:
-        if r["n_words"] >= 20 and r["repeated_share"] >= 0.2:
-            assert r["posterior"] >= r["floor"]
-    assert all(0 <= r["posterior"] <= 1 for r in rows)
+def test_posterior_finds_what_the_definition_names(spark):
+    """The posterior at its fixed threshold loses no case, with all texts labelled, with some and with the fewest; rows are kept."""
+    many = texts() * 8 + ["Alpha beta gamma delta. Epsilon zeta! " + " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))] * 300
+    df = frame(spark, many)
+    for labelled in (5000, 300, 60):
+        rows, model = judged(df, "doc_id", "text", labelled=labelled)
+        rows = rows.collect()
+        assert len(rows) == len(many) and all(0 <= r["posterior"] <= 1 for r in rows)
+        cases = {r["doc_id"] for r in rows if r["n_words"] >= 20 and r["rep_words"] * 5 >= r["n_words"]}
+        kept = {r["doc_id"] for r in rows if r["posterior"] >= 0.5}
+        assert cases and cases <= kept
+        assert len(model.rates) == len(RULES) and model.rates[0][0] > 0.9
+    assert {r["doc_id"] for r in repetitive(df, "doc_id", "text").collect()} == cases
 
 
 def test_accuracies_find_the_better_rule():
     r = random.Random(9)
     counts = {}
     truth = {}
-    for _ in range(20_000):
+    for k in range(20_000):
         y = r.random() < 0.2
         p = tuple(int(y) if r.random() < a else int(not y) for a in (0.97, 0.9, 0.6)) + (-1,)
-        counts[p] = counts.get(p, 0) + 1
+        c = counts.setdefault(p, [0, 0, 0])
+        c[(1 if y else 2) if k < 500 else 0] += 1
         truth.setdefault(p, []).append(y)
-    post = accuracies(list(counts.items()))
-    right = sum((post[p] > 0.5) == y for p, ys in truth.items() for y in ys)
+    model = accuracies([(p, *c) for p, c in counts.items()])
+    right = sum((model.posterior[p] > 0.5) == y for p, ys in truth.items() for y in ys)
     assert right / 20_000 > 0.96
-    assert accuracies([]) == {}
+    assert abs(model.rates[0][0] - 0.97) < 0.02 and abs(model.rates[2][1] - 0.6) < 0.03
+    assert accuracies([]).posterior == {}
 
 
 def test_empty(spark):
-    assert judged(frame(spark, []), "doc_id", "text").count() == 0
+    assert judged(frame(spark, []), "doc_id", "text")[0].count() == 0

@@ -76,13 +76,27 @@ def p9_pack(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = repetition.judged(table(spark, d, "documents"), "doc_id", "text").where("posterior >= floor")
-    return rows.where((F.col("n_words") >= repetition.LEAST_WORDS) & (F.col("rep_words") * 5 >= F.col("n_words"))).select("doc_id")
+    return repetition.repetitive(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
 
 
 def p10_shares(spark: SparkSession, d: str) -> DataFrame:
-    """The share of repeated words of every text."""
-    return repetition.judged(table(spark, d, "documents"), "doc_id", "text").select("doc_id", "n_words", "rep_words", "repeated_share")
+    """The share of repeated words of every text, whatever its posterior."""
+    docs = table(spark, d, "documents")
+    rows, _ = repetition.judged(docs, "doc_id", "text")
+    return rows.select("doc_id", "n_words", "rep_words", "repeated_share")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_per_split, p5_found, p5_classes, p6_found, p6_neighbours, p7_found, p7_counts, p8_ids, p8_decoded, p9_pack, p10_found, p10_shares)}
+def p10_judged(spark: SparkSession, d: str) -> DataFrame:
+    """Every text's votes and posterior."""
+    rows, _ = repetition.judged(table(spark, d, "documents"), "doc_id", "text")
+    return rows.select("doc_id", *repetition.RULES, F.round("posterior", 9).alias("posterior"))
+
+
+def p10_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Each rule's estimated rate of right votes, on repetitive and on other texts."""
+    _, model = repetition.judged(table(spark, d, "documents"), "doc_id", "text")
+    rows = [(name, *rates) for name, rates in zip(repetition.RULES, model.rates, strict=False)]
+    return spark.createDataFrame(rows, "rule string, on_repetitive double, on_other double")
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_per_split, p5_found, p5_classes, p6_found, p6_neighbours, p7_found, p7_counts, p8_ids, p8_decoded, p9_pack, p10_found, p10_shares, p10_judged, p10_rules)}

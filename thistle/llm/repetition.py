@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..runtime import cut, map_arrow
 
 RUN = 8
+RULES = ("run8", "run4", "words", "lines", "sentences")
 SHARE, LEAST_WORDS = 0.2, 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,7 +82,7 @@ def _rules() -> dict[str, Column]:
     fresh = share("distinct_words", "n_words")
     lines, sentences = 1 - share("distinct_lines", "lines"), 1 - share("distinct_sentences", "sentences")
     return {
-        "run8": vote(enough, c("rep_words") >= SHARE * c("n_words"), c("rep_words") < 0.1 * c("n_words")),
+        "run8": F.when(enough & (c("rep_words") * 5 >= c("n_words")), 1).when(c("n_words") > 0, 0).otherwise(-1),
         "run4": vote(enough, share("rep4_words", "n_words") >= 0.3, share("rep4_words", "n_words") < 0.15),
         "words": vote(c("n_words") >= 50, fresh < 0.35, fresh > 0.6),
         "lines": vote(c("lines") >= 4, lines >= 0.25, lines == 0),
@@ -88,18 +90,30 @@ def _rules() -> dict[str, Column]:
     }
 
 
-def accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> dict[tuple[int, ...], float]:
-    """Posterior probability of repetition for each vote pattern, by expectation-maximisation over the patterns and their counts.
+@dataclass
+class Model:
+    """posterior: of each vote pattern. rates: how often each rule is right on repetitive and on other texts. prior: the share of repetitive texts."""
 
-    Model: independent rules, each with a rate of right votes on repetitive and on other texts; abstaining says nothing. Rates stay between
-    0.5 and 0.99, so a rule never counts against its own vote, and an anchor keeps the classes from changing places.
+    posterior: dict[tuple[int, ...], float]
+    rates: list[tuple[float, float]]
+    prior: float
+
+
+def accuracies(patterns: list[tuple[tuple[int, ...], int, int, int]], rounds: int = 100) -> Model:
+    """The rules' rates of right votes, and with them each vote pattern's posterior probability of repetition, by expectation-maximisation.
+
+    patterns: votes, number of texts without a label, with the label repetitive, with the label other. Model: independent rules, each with a
+    rate of right votes on repetitive and on other texts; abstaining says nothing. Labelled texts keep their class, all others have their
+    posterior. Rates stay between 0.5 and 1 - 1e-6, so a rule never counts against its own vote, and classes can't change places.
     """
     if not patterns:
-        return {}
-    votes, n = np.array([p for p, _ in patterns]), np.array([k for _, k in patterns], float)
+        return Model({}, [], 0.0)
+    votes = np.array([p[0] for p in patterns])
+    n, labelled, other = (np.array([p[k] for p in patterns], float) for k in (1, 2, 3))
     yes, no = votes == 1, votes == 0
     right = np.full((2, votes.shape[1]), 0.8)  # of repetitive, of other texts
-    prior, post = 0.1, np.zeros(len(n))
+    prior, post = 0.1, np.full(len(n), -1.0)
+    little = 0.01
     for _ in range(rounds):
         a = np.log(prior) + (yes * np.log(right[0]) + no * np.log(1 - right[0])).sum(1)
         b = np.log(1 - prior) + (no * np.log(right[1]) + yes * np.log(1 - right[1])).sum(1)
@@ -107,25 +121,38 @@ def accuracies(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -
         if np.abs(new - post).max() < 1e-9:
             break
         post = new
-        w, v = n * post, n * (1 - post)
-        right[0] = np.clip(((w[:, None] * yes).sum(0) + 4) / ((w[:, None] * (yes | no)).sum(0) + 5), 0.5, 0.99)
-        right[1] = np.clip(((v[:, None] * no).sum(0) + 4) / ((v[:, None] * (yes | no)).sum(0) + 5), 0.5, 0.99)
-        prior = float(np.clip((w.sum() + 1) / (n.sum() + 10), 1e-3, 0.5))
-    return {tuple(int(x) for x in p): float(q) for (p, _), q in zip(patterns, post, strict=True)}
+        w, v = n * post + labelled, n * (1 - post) + other
+        right[0] = np.clip(((w[:, None] * yes).sum(0) + little) / ((w[:, None] * (yes | no)).sum(0) + 2 * little), 0.5, 1 - 1e-6)
+        right[1] = np.clip(((v[:, None] * no).sum(0) + little) / ((v[:, None] * (yes | no)).sum(0) + 2 * little), 0.5, 1 - 1e-6)
+        prior = float(np.clip((w.sum() + 1) / (w.sum() + v.sum() + 10), 1e-3, 0.5))
+    return Model({tuple(int(x) for x in p[0]): float(q) for p, q in zip(patterns, post, strict=True)}, [(float(x), float(y)) for x, y in right.T], prior)
 
 
-def judged(df: DataFrame, id_column: str, text: str) -> DataFrame:
-    """Features, repeated_share, the rules' votes and `posterior`, the probability that a text is repetitive; one row per row of df.
+def judged(df: DataFrame, id_column: str, text: str, labelled: int = 5000) -> tuple[DataFrame, Model]:
+    """Features, repeated_share, the rules' votes and `posterior`, the probability that a text is repetitive; one row per row of df. And the model.
 
-    Texts with no vote at all get the prior. `floor` is the lowest posterior of any pattern in which the rule on eight-word runs votes
-    yes: a filter at that level keeps every text the rule names and adds those that the other rules outvote it on.
+    At most `labelled` texts, chosen by a hash of the id, get the label that the definition gives them (at least 20 words, a fifth of them
+    repeated); the rules' rates are estimated on these and on all texts without a label together. The posterior alone says which texts are
+    repetitive: 0.5 is the threshold at every size. Texts with no vote at all get the prior.
     Only the number of texts of each vote pattern reaches the driver, at most 243.
     """
     rules = _rules()
     rows = cut(features(df, id_column, text).withColumns(rules))
-    patterns = [(tuple(r[k] for k in rules), r["n"]) for r in rows.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).collect()]
-    post = accuracies(patterns)
-    floor = min((q for p, q in post.items() if p[0] == 1), default=1.0)
-    found = df.sparkSession.createDataFrame([(*p, q) for p, q in post.items()], ", ".join(f"{k} int" for k in rules) + ", posterior double")
-    out = rows.join(F.broadcast(found), list(rules)).withColumn("floor", F.lit(floor))
-    return out.withColumn("repeated_share", F.col("rep_words") / F.greatest(F.col("n_words"), F.lit(1))).withColumnRenamed("id", id_column)
+    few = rows.orderBy(F.xxhash64("id"), "id").limit(labelled).withColumn("case", (F.col("n_words") >= LEAST_WORDS) & (F.col("rep_words") * 5 >= F.col("n_words")))
+    count = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    known = {tuple(r[k] for k in rules): (r["yes"], r["no"]) for r in few.groupBy(*rules).agg(count(F.col("case")).alias("yes"), count(~F.col("case")).alias("no")).collect()}
+    patterns = []
+    for r in rows.groupBy(*rules).agg(F.count(F.lit(1)).alias("n")).collect():
+        votes = tuple(r[k] for k in rules)
+        yes, no = known.get(votes, (0, 0))
+        patterns.append((votes, r["n"] - yes - no, yes, no))
+    model = accuracies(patterns)
+    found = df.sparkSession.createDataFrame([(*p, q) for p, q in model.posterior.items()], ", ".join(f"{k} int" for k in rules) + ", posterior double")
+    out = rows.join(F.broadcast(found), list(rules))
+    return out.withColumn("repeated_share", F.col("rep_words") / F.greatest(F.col("n_words"), F.lit(1))).withColumnRenamed("id", id_column), model
+
+
+def repetitive(df: DataFrame, id_column: str, text: str, threshold: float = 0.5) -> DataFrame:
+    """The rows of judged() whose posterior is at least `threshold`, checked against the definition: the few that other rules outvoted it on go."""
+    rows, _ = judged(df, id_column, text)
+    return rows.where(F.col("posterior") >= threshold).where((F.col("n_words") >= LEAST_WORDS) & (F.col("rep_words") * 5 >= F.col("n_words")))
