@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import random
 
-from thistle.llm.overlap import _needed, _sizes, cross_split_pairs
+import pytest
+
+from thistle.llm.overlap import _common_grams, cross_split_pairs
 
 T = "stmt_id long, s string, p string, o string, split_name string, hashes string, h1 long, value_type string, val int"
 PRED = [("http://kg.example/prop/n", "integer"), ("http://kg.example/prop/k", "entity"), ("http://kg.example/prop/t", "text")]
@@ -46,21 +48,25 @@ def test_text_against_brute_force(spark):
     facts += [("kge:a", "kgp:t", '"... 12"', "train"), ("kge:a", "kgp:t", '""', "test")]
     sets = [{w.lower() for w in f[2][1:].split('"')[0].split() if w.isalpha()} for f in facts]
     want = sorted((i, j) for i, f in enumerate(facts) if f[3] != "train" for j, g in enumerate(facts) if g[3] == "train" and sets[i] and len(sets[i] & sets[j]) * 10 >= 7 * len(sets[i] | sets[j]))
-    for gram in (None, 1, 2, 3, 4):
-        assert run(spark, facts, gram=gram) == want
-
-
-def test_every_pair_of_sizes_is_matched_by_something():
-    """For all sizes and overlaps at the threshold: both sets take combinations of one size, and the needed words hold one."""
-    for similarity in (0.5, 0.7, 0.8, 0.95):
-        for gram in (1, 2, 3, 4):
-            for a in range(1, 110):
-                for b in range(a, int(a / similarity + 1e-9) + 1):
-                    least = min(o for o in range(1, a + 1) if o >= similarity * (a + b - o) - 1e-9) if a >= similarity * b - 1e-9 else None
-                    if least is None:
-                        continue
-                    both = _sizes(a, similarity, gram) & _sizes(b, similarity, gram)
-                    assert both and min(both) <= min(_needed(a, similarity), _needed(b, similarity)) and least >= max(_needed(a, similarity), _needed(b, similarity))
+    assert run(spark, facts) == want
+    with pytest.raises(ValueError):
+        run(spark, facts, similarity=0.5)
+
+
+def test_similar_sets_share_the_grams_they_are_said_to():
+    """Random sets at the threshold and above, in any order common to both: at least _common_grams() of either's bigrams are shared."""
+    r = random.Random(4)
+    for _ in range(20_000):
+        s = r.randrange(1, 60)
+        a, b = set(range(s)), set(range(s))
+        for _ in range(int(s * 3 / 7)):
+            r.choice((a, b)).add(r.random() * s)
+        if len(a & b) * 10 < 7 * len(a | b) or len(a) < 2 or len(b) < 2:
+            continue
+        order = {w: r.random() for w in a | b}
+        of = lambda x: list(zip(y := sorted(x, key=order.get), y[1:]))
+        shared = len(set(of(a)) & set(of(b)))
+        assert shared >= max(_common_grams(len(a), 0.7), _common_grams(len(b), 0.7)) >= 1
 
 
 def test_long_text_and_empty_table(spark):

@@ -13,10 +13,10 @@ _P4 = f"""WITH r AS MATERIALIZED (SELECT stmt_id, split_name, source, value_type
  WHERE s IS NOT NULL AND o IS NOT NULL AND split_name IN ('train', 'valid', 'test') AND NOT starts_with(ltrim(s), '_:') AND NOT starts_with(ltrim(o), '_:')),
 sets AS MATERIALIZED (SELECT stmt_id, split_name, p, w, len(w) AS n FROM r WHERE len(w) > 0),
 tok AS MATERIALIZED (SELECT stmt_id, split_name, p, n, unnest(w) AS x FROM sets),
-near AS (SELECT e.stmt_id AS eval_id, t.stmt_id AS train_id FROM tok e JOIN tok t ON e.x = t.x AND e.p = t.p AND e.split_name <> 'train' AND t.split_name = 'train'
+near AS (SELECT e.stmt_id AS eval_id, t.stmt_id AS train_id, count(*) / min(e.n) AS c FROM tok e JOIN tok t ON e.x = t.x AND e.p = t.p AND e.split_name <> 'train' AND t.split_name = 'train'
  AND t.n * 10 >= e.n * 7 AND e.n * 10 >= t.n * 7 GROUP BY 1, 2 HAVING count(*) * 1000 >= 700 * (min(e.n) + min(t.n) - count(*))),
-pairs AS (SELECT e.stmt_id AS eval_id, t.stmt_id AS train_id FROM r e JOIN r t ON e.p = t.p AND e.s = t.s AND e.val = t.val WHERE e.split_name <> 'train' AND t.split_name = 'train'
- UNION ALL SELECT eval_id, train_id FROM near)
+pairs AS (SELECT e.stmt_id AS eval_id, t.stmt_id AS train_id, 1.0::DOUBLE AS c FROM r e JOIN r t ON e.p = t.p AND e.s = t.s AND e.val = t.val WHERE e.split_name <> 'train' AND t.split_name = 'train'
+ UNION ALL SELECT eval_id, train_id, c FROM near)
 """
 
 _P7 = f"""WITH tok AS (SELECT stmt_id, 'p' AS field, {sql_clean('p')} AS term FROM triples UNION ALL SELECT stmt_id, 'o_iri', {sql_iri('o')} FROM triples
@@ -38,7 +38,8 @@ best AS (SELECT a, b, sim FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER
 
 ORACLES = {
     "p4_found": _P4 + "SELECT least(eval_id, train_id) AS stmt_id_a, greatest(eval_id, train_id) AS stmt_id_b FROM pairs",
-    "p4_per_split": _P4 + "SELECT split_name, source, count(DISTINCT eval_id) AS statements, count(*) AS pairs FROM pairs JOIN triples ON stmt_id = eval_id GROUP BY 1, 2",
+    "p4_per_split": _P4 + "SELECT split_name, source, count(DISTINCT eval_id) AS statements, count(*) AS pairs, count(DISTINCT CASE WHEN c >= 1 THEN eval_id END) AS contained FROM pairs JOIN triples ON stmt_id = eval_id GROUP BY 1, 2",
+    "p4_containment": _P4 + "SELECT eval_id AS stmt_id, count(*) AS partners, round(max(c), 6) AS containment FROM pairs GROUP BY 1",
     "p6_found": _P6 + "SELECT DISTINCT least(a, b) AS triple_id_a, greatest(a, b) AS triple_id_b FROM best WHERE sim >= 0.8",
     # exact, as the query is where all vectors together are fewer than its candidates
     "p6_neighbours": _P6 + "SELECT a AS id, b AS other, round(sim, 6) AS similarity FROM best WHERE a % 50 = 0",

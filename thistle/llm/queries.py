@@ -20,10 +20,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_per_split(spark: SparkSession, d: str) -> DataFrame:
-    """Evaluation statements with a partner in train, and their pairs, per split and source."""
+    """Evaluation statements with a partner in train, their pairs, and how many of them a training statement contains whole, per split and source."""
     per = _pairs(spark, d).groupBy("eval_id").agg(F.count(F.lit(1)).alias("n"), F.max("containment").alias("c"))
     t = table(spark, d, "triples").select(F.col("stmt_id").alias("eval_id"), "split_name", "source")
-    return t.join(per, "eval_id").groupBy("split_name", "source").agg(F.count(F.lit(1)).alias("statements"), F.sum("n").alias("pairs"))
+    counts = (F.count(F.lit(1)).alias("statements"), F.sum("n").alias("pairs"), F.count_if(F.col("c") >= 1).alias("contained"))
+    return t.join(per, "eval_id").groupBy("split_name", "source").agg(*counts)
+
+
+def p4_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluation statement with its number of partners in train and the largest share of its words that one of them holds."""
+    per = _pairs(spark, d).groupBy(F.col("eval_id").alias("stmt_id")).agg(F.count(F.lit(1)).alias("partners"), F.max("containment").alias("c"))
+    return per.select("stmt_id", "partners", F.round("c", 6).alias("containment"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,4 +106,4 @@ def p10_rules(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, on_repetitive double, on_other double")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_per_split, p5_found, p5_classes, p6_found, p6_neighbours, p7_found, p7_counts, p8_ids, p8_decoded, p9_pack, p10_found, p10_shares, p10_judged, p10_rules)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_per_split, p4_containment, p5_found, p5_classes, p6_found, p6_neighbours, p7_found, p7_counts, p8_ids, p8_decoded, p9_pack, p10_found, p10_shares, p10_judged, p10_rules)}
