@@ -52,6 +52,16 @@ SELECT 'labels', label_id, f FROM l WHERE starts_with(iri, 'http://kg.example/en
  AND iri NOT IN (SELECT {sql_clean('s')} FROM triples WHERE s IS NOT NULL))
 """
 
+_P1_ALL = f"""WITH b AS (SELECT * FROM (VALUES (1, epoch_us(TIMESTAMP '2025-01-01')), (2, epoch_us(TIMESTAMP '2026-01-01')), (3, 4611686018427387904)) x(batch, until)),
+t AS MATERIALIZED (SELECT stmt_id, {sql_clean('s')} AS s, {sql_iri('o')} AS o, epoch_us(asserted_at) AS ts, epoch_us(ingested_at) AS arrived FROM triples),
+l AS MATERIALIZED (SELECT label_id, {sql_clean('iri')} AS iri, CAST(round(fetched_at * 1e6) AS BIGINT) AS f, CAST(round(removed_at * 1e6) AS BIGINT) AS r FROM labels),
+found AS (
+SELECT batch, 'triples' AS tbl, o AS key, ts FROM t JOIN b ON arrived < until WHERE starts_with(o, 'http://kg.example/entity/')
+ AND NOT EXISTS (SELECT 1 FROM l WHERE l.iri = t.o AND l.f < b.until AND l.f <= t.ts AND (l.r IS NULL OR l.r >= b.until OR l.r > t.ts))
+UNION ALL
+SELECT batch, 'labels', iri, f FROM l JOIN b ON f < until WHERE starts_with(iri, 'http://kg.example/entity/') AND NOT EXISTS (SELECT 1 FROM t WHERE t.s = l.iri AND t.arrived < b.until))
+"""
+
 _P2 = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT DISTINCT * FROM (
  SELECT 'subclass_of' AS hier, {sql_clean('class_iri')} AS child, {sql_clean('parent_iri')} AS parent FROM subclass_of
  UNION ALL SELECT 'provenance', CAST(generated_id AS VARCHAR), CAST(source_id AS VARCHAR) FROM provenance
@@ -80,6 +90,7 @@ _WIDE = {
 ORACLES = {
     "p1_found": _P1 + "SELECT tbl, row_id FROM found",
     "p1_per_month": _P1 + "SELECT tbl, strftime(make_timestamp(ts), '%Y-%m') AS month, count(*) AS orphans FROM found GROUP BY 1, 2",
+    "p1_snapshots": _P1_ALL + "SELECT tbl, strftime(make_timestamp(ts), '%Y-%m') AS month, count(*) AS orphans, count(DISTINCT key) AS missing_keys, CAST(batch AS INTEGER) AS batch FROM found GROUP BY ALL",
     "p2_found": _P2 + _WALK + """SELECT w.hier, w.node, w.top AS root, CAST(min(w.d) AS INTEGER) AS node_depth FROM walk w JOIN root r ON r.hier = w.hier AND r.node = w.top GROUP BY 1, 2, 3
 UNION ALL SELECT DISTINCT hier, node, 'cycle', -1 FROM walk WHERE d > 0 AND node = top""",
     "p2_descendants": _P2 + _WALK + "SELECT hier, top AS node, node AS descendant, CAST(min(d) AS INTEGER) AS levels FROM walk GROUP BY 1, 2, 3 HAVING min(d) > 0",

@@ -2,39 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Iterator
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .functions.terms import ENTITY, clean_iri, iri_of, micros
 from .operators import hierarchy, orphans, widen
 from .oracles import ORACLES as ORACLES
-from .runtime import table
+from .runtime import cut, table
+
+
+#: Ends of the batches that the tracker of problem 1 is fed with: what was ingested, fetched or removed before, and after all, the rest.
+BATCHES = ("2025-01-01", "2026-01-01", None)
+
+
+def _moment(day: str) -> int:
+    return int(datetime.fromisoformat(day).replace(tzinfo=timezone.utc).timestamp()) * 1_000_000
+
 
+def _batch(spark: SparkSession, d: str, after: str | None, until: str | None) -> tuple[DataFrame, DataFrame]:
+    """References and parent changes of problem 1 between two days: statements refer to labels as of their assertion, labels to subjects of any time.
 
-def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """References and parents of problem 1: statements to labels as of the statement, and labels to subjects without a time axis."""
+    Keys of labels begin with l, those of subjects with s. A label whose end lies in a later batch comes without it, and again then. Rows
+    without a time of arrival come last.
+    """
     t, lab = table(spark, d, "triples"), table(spark, d, "labels")
-    local = lambda c: F.when(c.startswith(ENTITY), F.substr(c, F.lit(len(ENTITY) + 1)))
-    us = lambda c: F.round(F.col(c) * 1e6).cast("long")
-    to_labels = t.where("o is not null").select(F.col("stmt_id").alias("id"), F.lit("triples").alias("tbl"), local(iri_of("o")).alias("key"), micros("asserted_at").alias("at")).where("key is not null")
-    label_rows = lab.where("iri is not null").select(local(clean_iri("iri")).alias("key"), us("fetched_at").alias("from_us"), us("removed_at").alias("to_us"), F.col("label_id").alias("parent_id"))
-    to_subjects = lab.where("iri is not null").select(F.col("label_id").alias("id"), F.lit("labels").alias("tbl"), local(clean_iri("iri")).alias("key"), us("fetched_at").alias("at")).where("key is not null")
-    subjects = t.where("s is not null").select(local(clean_iri("s")).alias("key")).where("key is not null")
-    return to_labels, label_rows.where("key is not null"), to_subjects, subjects
+    lo, hi = (_moment(x) if x else None for x in (after, until))
+
+    def arrives(c: Column) -> Column:
+        late, early = F.lit(True) if lo is None else c >= lo, F.lit(True) if hi is None else c < hi
+        return F.coalesce(late & early, F.lit(hi is None))
 
+    def key(side: str, c: Column) -> Column:
+        return F.when(c.startswith(ENTITY), F.concat(F.lit(side), F.substr(c, F.lit(len(ENTITY) + 1))))
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    to_labels, label_rows, to_subjects, subjects = _references(spark, d)
-    pending = orphans.OrphanTracker(spark).advance(to_labels, label_rows)
-    return pending.select("tbl", "id", "at").unionByName(orphans.absent(to_subjects, subjects).select("tbl", "id", "at"))
+    us = lambda c: F.round(F.col(c) * 1e6).cast("long")
+    day = lambda x: F.lit(x).cast("timestamp_ntz")
+    if after or until:
+        inside = (F.col("ingested_at") >= day(after) if after else F.lit(True)) & (F.col("ingested_at") < day(until) if until else F.lit(True))
+        t = t.where(F.coalesce(inside, F.lit(until is None)))
+    fetched, removed = us("fetched_at"), us("removed_at")
+    from_statements = t.where("o is not null").select(F.col("stmt_id").alias("id"), F.lit("triples").alias("tbl"), key("l", iri_of("o")).alias("key"), micros("asserted_at").alias("at"), micros("asserted_at").alias("on_us"))
+    own = lab.where(arrives(fetched) & F.col("iri").isNotNull())
+    from_labels = own.select(F.col("label_id").alias("id"), F.lit("labels").alias("tbl"), key("s", clean_iri("iri")).alias("key"), F.coalesce(fetched, F.lit(0)).alias("at"), fetched.alias("on_us"))
+    known_end = removed if hi is None else F.when(removed < hi, removed)
+    ends_now = F.lit(False) if lo is None else arrives(removed) & (fetched < lo) & removed.isNotNull()
+    labels = lab.where(F.col("iri").isNotNull() & (arrives(fetched) | F.coalesce(ends_now, F.lit(False)))).select(key("l", clean_iri("iri")).alias("key"), fetched.alias("from_us"), known_end.alias("to_us"), F.col("label_id").cast("string").alias("parent_id"))
+    subjects = t.where("s is not null").select(key("s", clean_iri("s")).alias("key")).distinct().select("key", F.lit(orphans.FIRST).alias("from_us"), F.lit(None).cast("long").alias("to_us"), F.lit(None).cast("string").alias("parent_id"))
+    return from_statements.unionByName(from_labels), labels.unionByName(subjects)
+
+
+def _tracked(spark: SparkSession, d: str) -> Iterator[orphans.OrphanTracker]:
+    """The tracker after each batch."""
+    tracker = orphans.OrphanTracker(spark)
+    for after, until in zip((None, *BATCHES), BATCHES):
+        tracker.advance(*_batch(spark, d, after, until))
+        yield tracker
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d).select("tbl", F.col("id").alias("row_id"))
+    *_, tracker = _tracked(spark, d)
+    return tracker.pending.select("tbl", F.col("id").alias("row_id"))
 
 
 def p1_per_month(spark: SparkSession, d: str) -> DataFrame:
-    month = F.date_format(F.timestamp_micros("at"), "yyyy-MM").alias("month")
-    return _orphans(spark, d).groupBy("tbl", month).agg(F.count(F.lit(1)).alias("orphans"))
+    *_, tracker = _tracked(spark, d)
+    return tracker.snapshot().select("tbl", "month", "orphans")
+
+
+def p1_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The orphans pending after each batch, per table and month: what arrived late resolves some, what was removed reopens others."""
+    out = None
+    for i, tracker in enumerate(_tracked(spark, d)):
+        now = cut(tracker.snapshot().withColumn("batch", F.lit(i + 1)))
+        out = now if out is None else out.unionByName(now)
+    return out
 
 
 def _links(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -75,4 +118,4 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return widen.narrow(widen.widen(table(spark, d, "triples"), table(spark, d, "predicates")))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_per_month, p2_found, p2_paths, p2_descendants, p3_found, p3_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_per_month, p1_snapshots, p2_found, p2_paths, p2_descendants, p3_found, p3_wide)}
