@@ -102,19 +102,59 @@ def words(c: Column | str) -> Column:
 SIMPLE = ("integer", "decimal", "boolean", "date", "string")
 
 
+_NUMBER = r"^[+\-]?([0-9]*)[.,]?([0-9]*)(?:[eE]([+\-]?[0-9]+))?$"
+
+
+def _strip_zeros(c: Column) -> Column:
+    return F.coalesce(F.nullif(F.ltrim(c, F.lit("0")), F.lit("")), F.lit("0"))
+
+
+def _digits(v: Column) -> tuple[Column, Column]:
+    """Of a number's text of any length the digits before and behind its mark, the exponent worked in."""
+    whole, part = F.regexp_extract(v, _NUMBER, 1), F.regexp_extract(v, _NUMBER, 2)
+    at = F.length(whole) + F.coalesce(F.regexp_extract(v, _NUMBER, 3).try_cast("int"), F.lit(0))
+    every = F.concat(whole, part)
+    zeros = lambda n: F.repeat(F.lit("0"), F.greatest(n, F.lit(0)))
+    front = F.concat(F.substr(every, F.lit(1), F.greatest(at, F.lit(0))), zeros(at - F.length(every)))
+    back = F.concat(zeros(-at), F.substr(every, F.greatest(at, F.lit(0)) + 1))
+    return front, back
+
+
+def _plus_one(c: Column) -> Column:
+    """A text of digits, of any length, one more."""
+    head = F.rtrim(c, F.lit("9"))
+    carried = F.repeat(F.lit("0"), F.length(c) - F.length(head))
+    last = (F.right(head, F.lit(1)).try_cast("int") + 1).cast("string")
+    return F.when(head == "", F.concat(F.lit("1"), carried)).otherwise(F.concat(F.substr(head, F.lit(1), F.length(head) - 1), last, carried))
+
+
+def _any_length(v: Column) -> Column:
+    """The integer and decimal normal forms of a number's text of any length, worked out on its digits; the integer is null where it isn't whole."""
+    front, back = _digits(v)
+    minus = lambda text, zero: F.when(v.startswith("-") & (text != zero), F.concat(F.lit("-"), text)).otherwise(text)
+    whole = F.when(F.rtrim(back, F.lit("0")) == "", minus(_strip_zeros(front), "0"))
+    cents = F.concat(front, F.rpad(F.substr(back, F.lit(1), F.lit(2)), 2, "0"))
+    cents = F.when(F.substr(back, F.lit(3), F.lit(1)) >= "5", _plus_one(cents)).otherwise(cents)
+    fixed = F.concat(_strip_zeros(F.substr(cents, F.lit(1), F.length(cents) - 2)), F.lit("."), F.right(cents, F.lit(2)))
+    return F.struct(whole.alias("whole"), minus(fixed, "0.00").alias("fixed"))
+
+
 def with_value(df: DataFrame, kind: str, term: str, out: str) -> DataFrame:
     """df with `out`: the normal form of a literal of a simple type, or null where it doesn't read as one value of the type.
 
-    integer and decimal: an optional sign, digits, a point or comma as decimal mark, an exponent of up to three digits; an integer must be
-    whole, a decimal is rounded half up to two places. Numbers of more than 28 digits before the mark count as invalid. Worked out in steps
-    (columns _v and _n, dropped again), so that nothing is computed twice.
+    integer and decimal: an optional sign, any number of digits, a point or comma as decimal mark, an exponent of up to three digits; an
+    integer must be whole, a decimal is rounded half up to two places, zero has no sign. Short numbers are worked out as decimals, all others
+    on their digits, so none is lost or rounded. Worked out in steps (columns _v, _n and _l, dropped again), so that nothing is computed twice.
     """
     k, v, num = F.col(kind), F.col("_v"), F.col("_n")
     df = df.withColumn("_v", F.when(k.isin(*SIMPLE), strip(lexical(term))))
     is_number = k.isin("integer", "decimal") & v.rlike(r"^[+\-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+\-]?[0-9]{1,3})?$")
-    df = df.withColumn("_n", F.when(is_number, F.replace(v, F.lit(","), F.lit(".")).try_cast("decimal(38,10)")))
-    whole = F.when(num == F.floor(num), num.cast("decimal(38,0)").cast("string"))
-    fixed = F.round(num, 2).cast("decimal(38,2)").cast("string")
+    short = v.rlike(r"^[+\-]?[0-9]{0,28}([.,][0-9]{0,10})?$")
+    df = df.withColumn("_n", F.when(is_number & short, F.replace(v, F.lit(","), F.lit(".")).try_cast("decimal(38,10)")))
+    # inside a lambda, as such rows are few and the expression is too large to be compiled into every query
+    df = df.withColumn("_l", F.when(is_number & num.isNull(), F.transform(F.array(v), _any_length)[0]))
+    whole = F.when(num.isNotNull(), F.when(num == F.floor(num), num.cast("decimal(38,0)").cast("string"))).otherwise(F.col("_l.whole"))
+    fixed = F.when(num.isNotNull(), F.round(num, 2).cast("decimal(38,2)").cast("string")).otherwise(F.col("_l.fixed"))
     low = F.lower(v)
     truth = F.when(low.isin("true", "yes", "t", "1"), F.lit("true")).when(low.isin("false", "no", "f", "0"), F.lit("false"))
     iso, dot, run = r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})(?:[Tt ].*|Z|[+\-][0-9:]+)?$", r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})(?:[Tt ].*)?$", r"^([0-9]{4})([0-9]{2})([0-9]{2})(?:[Tt ].*)?$"
@@ -131,7 +171,7 @@ def with_value(df: DataFrame, kind: str, term: str, out: str) -> DataFrame:
         .when(k == "date", F.date_format(date, "yyyy-MM-dd"))
         .when(k == "string", F.when(v != "", v))
     )
-    return df.withColumn(out, text).drop("_v", "_n")
+    return df.withColumn(out, text).drop("_v", "_n", "_l")
 
 
 def where_any(df: DataFrame, *columns: str) -> DataFrame:

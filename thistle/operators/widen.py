@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.terms import SIMPLE, clean_iri, where_any, with_value
 from ..runtime import map_arrow
@@ -76,7 +76,8 @@ def widen(triples: DataFrame, predicates: DataFrame) -> DataFrame:
 
     Global ordinals are ranges, one per partition (partition number times 2^33 plus position), so no pass over the data is needed to number
     the entities; they hold within one evaluation, so a table that is read twice should be written first. Clashing names are numbered (x, x_2). The columns come from the declared predicates, which must be few (they are columns);
-    more than 10,000 raise ValueError. Entities without a valid value get no row; a column without values is null throughout.
+    more than 10,000 raise ValueError. Entities without a valid value get no row; a column without values is null throughout. Numbers of more
+    than 38 digits don't fit their columns: these stand in the map `overflow`, by the column's name, as text (null where there are none).
     """
     declared = predicates.where(F.col("value_type").isin(*SIMPLE)).select("pred_iri", "value_type").distinct().orderBy("pred_iri").limit(10_001).collect()
     if len(declared) > 10_000:
@@ -89,14 +90,22 @@ def widen(triples: DataFrame, predicates: DataFrame) -> DataFrame:
     for r in declared:
         name = base = r["pred_iri"].rstrip("/").rsplit("/", 1)[-1].rsplit("#", 1)[-1]
         n = 1
-        while name.lower() in {"ordinal", "s", *(x.lower() for x in names.values())}:
+        while name.lower() in {"ordinal", "s", "overflow", *(x.lower() for x in names.values())}:
             n += 1
             name = f"{base}_{n}"
         names[r["pred_iri"]] = name
+    typed = {k: F.col(f"c{k}").try_cast(TYPES[r["value_type"]]) for k, r in enumerate(declared)}
+    numbers = [k for k, r in enumerate(declared) if r["value_type"] in ("integer", "decimal")]
+    over = [F.struct(F.lit(names[declared[k]["pred_iri"]]).alias("key"), F.when(typed[k].isNull(), F.col(f"c{k}")).alias("value")) for k in numbers]
+    too_long = F.lit(False)
+    for k in numbers:
+        too_long = too_long | (F.length(f"c{k}") > 36)
+    overflow = F.when(F.coalesce(too_long, F.lit(False)), F.map_from_entries(F.filter(F.array(*over), lambda x: x["value"].isNotNull()))) if over else F.lit(None)
     wide = text.select(
         (F.spark_partition_id().cast("long") * F.lit(2**33) + F.col("ordinal")).alias("ordinal"),
         "s",
-        *(F.col(f"c{k}").cast(TYPES[r["value_type"]]).alias(names[r["pred_iri"]]) for k, r in enumerate(declared)),
+        *(typed[k].alias(names[r["pred_iri"]]) for k, r in enumerate(declared)),
+        overflow.cast("map<string,string>").alias("overflow"),
     )
     wide._thistle_columns = [(r["pred_iri"], names[r["pred_iri"]], r["value_type"]) for r in declared]
     return wide
@@ -104,8 +113,15 @@ def widen(triples: DataFrame, predicates: DataFrame) -> DataFrame:
 
 def narrow(wide: DataFrame) -> DataFrame:
     """The cells of a table made by widen() as (s, p, val_text)."""
+
+    def text(name: str, kind: str) -> Column:
+        if kind == "date":
+            return F.date_format(name, "yyyy-MM-dd")
+        short = F.col(f"`{name}`").cast("string")
+        return F.coalesce(short, F.col("overflow")[name]) if kind in ("integer", "decimal") else short
+
     cells = [
-        F.struct(F.lit(p).alias("p"), (F.date_format(name, "yyyy-MM-dd") if kind == "date" else F.col(f"`{name}`").cast("string")).alias("val_text"))
+        F.struct(F.lit(p).alias("p"), text(name, kind).alias("val_text"))
         for p, name, kind in wide._thistle_columns
     ]
     if not cells:
