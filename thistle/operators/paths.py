@@ -8,10 +8,14 @@ from itertools import count
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..runtime import cut, forget
+from ..runtime import cut, cut_counted, forget
 from .hierarchy import double_pointers
 
 
+#: Edges that one round of a search from given starts goes on.
+HOPS = 4
+
+
 def _rounds(depth: int | None) -> Iterable[int]:
     return count(1) if depth is None else range(1, depth + 1)
 
@@ -23,7 +27,8 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, depth: int | None
     nothing behind them is searched. Nulls are no nodes.
 
     From all sources pointers are doubled, in a number of rounds logarithmic in the longest way. From given starts, or with an exit, rounds
-    go outward edge by edge, all starts at once, until nothing new is reached, or after `depth` edges where given, of which a warning tells.
+    go outward, all starts at once and HOPS edges a round, until nothing new is reached, or after `depth` edges where given, of which a
+    warning tells.
     """
     e = cut(edges.where("src is not null and dst is not null").select("src", "dst").distinct())
     if seeds is None and stop is None:
@@ -31,21 +36,35 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, depth: int | None
         every = double_pointers(e.select(one, F.col("src").alias("child"), F.col("dst").alias("parent")), e.select(one, F.explode(F.array("src", "dst")).alias("node")), targets="all", loops=False)
         onward = every.reached.select(F.col("node").alias("mid"), F.col("target").alias("dst"))
         return e.withColumnRenamed("dst", "mid").join(onward, "mid").select("src", "dst").distinct()
+    ends = None if stop is None else stop.select(F.col("node").alias("dst"))
     front = e if seeds is None else e.join(seeds.where("src is not null").select("src").distinct(), "src", "left_semi")
     front = cut(front)
-    reached = front
-    for i in _rounds(None if depth is None else depth - 1):
-        onward = front if stop is None else front.join(stop.select(F.col("node").alias("dst")), "dst", "left_anti")
-        step = onward.select(F.col("src").alias("start"), F.col("dst").alias("src")).join(e, "src").select(F.col("start").alias("src"), "dst").distinct()
-        new = cut(step.join(reached, ["src", "dst"], "left_anti"))
-        if new.isEmpty():
+    reached, made, gone = [front], [front], 1
+    every = front
+    while depth is None or gone < depth:
+        hops = HOPS if depth is None else min(HOPS, depth - gone)
+        step, ahead = front, None
+        for _ in range(hops):
+            onward = step if ends is None else step.join(ends, "dst", "left_anti")
+            step = onward.select(F.col("src").alias("start"), F.col("dst").alias("src")).join(e, "src").select(F.col("start").alias("src"), "dst").distinct()
+            ahead = step if ahead is None else ahead.unionByName(step)
+        new, seen = cut_counted(ahead.distinct().join(every, ["src", "dst"], "left_anti"), n=F.count(F.lit(1)))
+        if not seen["n"]:
             break
-        reached, front = reached.unionByName(new), new
-        if i % 20 == 0:
-            reached = cut(reached)
+        gone += hops
+        reached.append(new)
+        made.append(new)
+        front = new
+        every = every.unionByName(new)
+        if len(reached) == 10:
+            every = cut(every)
+            for t in made:
+                if t is not front:
+                    forget(t)
+            reached, made = [every], [every, front]
     else:
         warnings.warn(f"paths longer than {depth} edges were not followed", stacklevel=2)
-    return reached if stop is None else reached.join(stop.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return every if ends is None else every.join(ends, "dst", "left_semi").select("src", "dst")
 
 
 def greedy(edges: DataFrame, similarity: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
