@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from itertools import combinations
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,6 @@ from ..functions.terms import clean_iri, iri_of, is_blank, lexical, where_any, w
 from ..runtime import cut, map_arrow
 
 TRAIN, EVAL = "train", ("valid", "test")
-_ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
 def records(triples: DataFrame, predicates: DataFrame) -> DataFrame:
@@ -30,98 +30,110 @@ def records(triples: DataFrame, predicates: DataFrame) -> DataFrame:
     return where_any(t, "val", "words").select("stmt_id", "train", F.when(kind == "text", "text").otherwise("exact").alias("kind"), "p", "s", "val", "words")
 
 
-def _common_grams(n: int, similarity: float) -> int:
-    """How many word bigrams a set of n words shares at least with any other set similar enough.
+def _needed(n: int, similarity: float) -> int:
+    """Words that a set of n must share with any set similar enough."""
+    return max(1, ceil(similarity * n - 1e-9))
 
-    Sets of n and m words with s in common have n + m - 2 s words that are in one of them only. In an order common to both, the shared words
-    have s - 1 neighbours, and a word of one set only comes between at most one pair of these. So s - 1 - (n + m - 2 s) bigrams are shared.
-    """
-    if n < 2:
-        return 1
-    least = n
-    for m in range(max(2, ceil(similarity * n - 1e-9)), int(n / similarity + 1e-9) + 1):
-        s = ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
-        least = min(least, s - 1 - (n + m - 2 * s))
-    return max(1, least)
 
+#: Sets of this many words are matched by single words: they have too many combinations, and single rare words suffice.
+LONG = 64
+
+
+def _sizes(n: int, similarity: float, gram: int) -> set[int]:
+    """How many words the combinations of a set of n have: for every size that a similar set may have, what both can be matched by."""
+
+    def own(m: int) -> int:
+        return 1 if m >= LONG else min(gram, _needed(m, similarity))
 
-def _grams(common: dict[int, int], similarity: float):
-    """Of each word set its bigrams in order of rarity, the rarest first, as hashes with the predicate; a single word is its own gram.
+    if own(n) == 1:
+        return {1}
+    return {min(own(n), own(m)) for m in range(max(1, ceil(similarity * n - 1e-9)), int(n / similarity + 1e-9) + 1)}
 
-    Of two similar sets that share at least t bigrams, the rarest shared one is among all but the last t - 1 of either, so these are left out:
-    they are what is common to many texts. A word's place in the order is its number if it is common, then its hash.
+
+def _grams(common: dict[int, int], similarity: float, gram: int):
+    """Of each word set its skip-n-grams, hashed: its words stand in order of rarity, and an n-gram takes n of the rarest, whatever lies between.
+
+    Two sets with Jaccard similarity of at least `similarity` share at least needed(n) words each, so that at least g of the shared
+    ones are among the first n - needed(n) + g of either in any order common to both: they share a combination of g. Both take the g that
+    fits the pair among their sizes, so no pair is lost.
     """
-    kept: dict[int, int] = {}
+    sizes: dict[int, set[int]] = {}
+
+    def signatures(hashes: np.ndarray) -> set[int]:
+        n = len(hashes)
+        if n not in sizes:
+            sizes[n] = _sizes(n, similarity, gram)
+        ranked = sorted((common.get(h, 0), h) for h in hashes.tolist())
+        out: set[int] = set()
+        for g in sizes[n]:
+            first = sorted(h for _, h in ranked[: n - _needed(n, similarity) + g])
+            out |= {hash((g, *c)) for c in combinations(first, g)}
+        return out
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("hashes")
             flat, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            offsets, flat = offsets - offsets[0], flat[offsets[0] : offsets[-1]]
-            size = np.diff(offsets)
-            text = np.repeat(np.arange(b.num_rows), size)
-            number = np.fromiter((common.get(h, 0) for h in flat.tolist()), np.int64, len(flat))
-            order = np.lexsort((flat, number, text))
-            word = flat[order].astype(np.uint64)
-            place = np.arange(len(flat)) - np.repeat(offsets[:-1], size)
-            after = np.append(word[1:], np.uint64(0))
-            single = (size == 1)[text]
-            for n in np.unique(size).tolist():
-                if n not in kept:
-                    kept[n] = 1 if n == 1 else n - _common_grams(n, similarity)
-            keep = np.flatnonzero(place < np.array([kept[n] for n in size.tolist()], np.int64)[text])
-            with np.errstate(over="ignore"):
-                g = (word * _ODD[0]) ^ (word >> np.uint64(31))
-                g = g * _ODD[1] + np.where(single, np.uint64(1), (after ^ (after >> np.uint64(29))) * _ODD[2])
-                g = (g ^ (g >> np.uint64(32))) * _ODD[0] + b.column("ph").to_numpy().astype(np.uint64)[text] * _ODD[2]
-            at = pa.array(text[keep])
-            rows = b.select(["h1", "h2", "train_too", "eval_too"]).take(at)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(size[text[keep]].astype(np.int32)), pa.array(g[keep].astype(np.int64))], names=["h1", "h2", "train_too", "eval_too", "size", "gram"])
+            at, out = [], []
+            for i in range(b.num_rows):
+                sig = signatures(flat[offsets[i] : offsets[i + 1]])
+                at += [i] * len(sig)
+                out += sig
+            rows = b.select(["h1", "h2", "train_too", "eval_too"]).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.int64())], names=["h1", "h2", "train_too", "eval_too", "sig"])
 
     return of
 
 
-def near_classes(text: DataFrame, similarity: float = 0.7, common_share: float = 0.0005) -> DataFrame:
+def near_classes(text: DataFrame, similarity: float = 0.7, gram: int | None = None, common_share: float = 0.0005) -> DataFrame:
     """Pairs of different word sets (eval side a, train side b) with a Jaccard similarity of at least `similarity`, and their containment.
 
-    text: h1, h2 (the class, of predicate and word set), ph (hash of the predicate), hashes (word hashes), train_too, eval_too; one row per
-    class. The evaluation sets' word bigrams are partitioned by their hash, the training sets' scanned for hits, and the containment of each
-    evaluation set in each training set it hit is computed from the words. No pair is lost, see _common_grams(); that needs a
-    similarity of at least 0.7. Words in at least common_share of all classes are ranked by their number, all rarer words come first, in
-    hash order. As sets have a bounded mean size, at most size/common_share words are that common: that table may be broadcast.
+    The hashes of the evaluation sets' n-grams are partitioned, the training sets' scanned for hits, and the containment of each evaluation set
+    in each training set it hit is computed from the words. N-grams without skips would do, too (with s shared of n + m words at least
+    s - 1 - (n + m - 2 s) bigrams are shared), but most of those are of words that all texts of a kind have: they hit far too often.
+
+    text: h1, h2 (the class, of predicate and word set), ph (hash of the predicate), hashes (sorted word hashes), train_too, eval_too; one
+    row per class. Words in at least common_share of all classes are ranked by their number; all rarer words come first, in hash order. As
+    sets have a bounded mean size, at most size/common_share words are that common: that table may be broadcast.
+    gram: None takes the fewest words that keep chance hits below one a combination, by the sizes and the vocabulary; any number gives the
+    same pairs.
     """
-    if not 0.7 <= similarity <= 1:
-        raise ValueError(f"bigrams find all pairs of a similarity from 0.7 to 1, not {similarity}")
     spark = text.sparkSession
     total = text.count()
     if not total:
         return text.select(*(F.col(c).alias(c + s) for s in ("_a", "_b") for c in ("h1", "h2")), F.lit(0.0).alias("jaccard"), F.lit(0.0).alias("containment")).limit(0)
     least = max(2, ceil(total * common_share))
-    words = text.select(F.explode("hashes").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    common = spark.sparkContext.broadcast({r["w"]: r["n"] for r in words.collect()})
+    df = cut(text.select(F.explode("hashes").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    if gram is None:
+        seen = df.agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("n").alias("n")).first()
+        mean = seen["n"] / total
+        first = mean - _needed(round(mean), similarity)
+        gram = next((g for g in (2, 3, 4) if total * comb(round(first) + g, g) < comb(seen["vocabulary"], g)), 4)
+    df = df.where(F.col("n") >= least)
+    common = spark.sparkContext.broadcast({r["w"]: r["n"] for r in df.toLocalIterator()})
 
     def run(batches):
-        yield from _grams(common.value, similarity)(batches)
-
-    grams = map_arrow(text.select("h1", "h2", "ph", "train_too", "eval_too", "hashes"), run, "h1 long, h2 long, train_too boolean, eval_too boolean, size int, gram long")
-    side = lambda flag, s: grams.where(flag).select(F.col("h1").alias("h1" + s), F.col("h2").alias("h2" + s), F.col("size").alias("n" + s), "gram")
-    factor = F.lit(round(similarity * 1000))
-    fits = (F.col("n_a") * 1000 >= F.col("n_b") * factor) & (F.col("n_b") * 1000 >= F.col("n_a") * factor)
-    hits = side("eval_too", "_a").join(side("train_too", "_b"), "gram").where(fits & ~((F.col("h1_a") == F.col("h1_b")) & (F.col("h2_a") == F.col("h2_b")))).select("h1_a", "h2_a", "h1_b", "h2_b").distinct()
-    sets = lambda s: text.select(F.col("h1").alias("h1" + s), F.col("h2").alias("h2" + s), F.col("ph").alias("ph" + s), F.col("hashes").alias("w" + s))
-    both = hits.join(sets("_a"), ["h1_a", "h2_a"]).join(sets("_b"), ["h1_b", "h2_b"]).where("ph_a = ph_b")
+        yield from _grams(common.value, similarity, gram)(batches)
+
+    grams = map_arrow(text.select("h1", "h2", "train_too", "eval_too", "hashes"), run, "h1 long, h2 long, train_too boolean, eval_too boolean, sig long")
+    grams = cut(grams)
+    wanted = grams.where("eval_too").select(F.col("h1").alias("h1_a"), F.col("h2").alias("h2_a"), "sig")
+    there = grams.where("train_too").select(F.col("h1").alias("h1_b"), F.col("h2").alias("h2_b"), "sig")
+    hits = wanted.join(there, "sig").where("h1_a <> h1_b or h2_a <> h2_b").select("h1_a", "h2_a", "h1_b", "h2_b").distinct()
+    side = lambda s: text.select(F.col("h1").alias("h1" + s), F.col("h2").alias("h2" + s), F.col("ph").alias("ph" + s), F.col("hashes").alias("w" + s))
+    both = hits.join(side("_a"), ["h1_a", "h2_a"]).join(side("_b"), ["h1_b", "h2_b"]).where("ph_a = ph_b")
     shared = F.size(F.array_intersect("w_a", "w_b"))
     both = both.withColumn("shared", shared).withColumn("jaccard", F.col("shared") / (F.size("w_a") + F.size("w_b") - F.col("shared"))).withColumn("containment", F.col("shared") / F.size("w_a"))
     # whole numbers, so that equality at the threshold doesn't depend on rounding
-    return both.where(F.col("shared") * 1000 >= factor * (F.size("w_a") + F.size("w_b") - F.col("shared"))).select("h1_a", "h2_a", "h1_b", "h2_b", "jaccard", "containment")
+    return both.where(F.col("shared") * 1000 >= F.lit(round(similarity * 1000)) * (F.size("w_a") + F.size("w_b") - F.col("shared"))).select("h1_a", "h2_a", "h1_b", "h2_b", "jaccard", "containment")
 
 
-def cross_split_pairs(triples: DataFrame, predicates: DataFrame, similarity: float = 0.7) -> DataFrame:
+def cross_split_pairs(triples: DataFrame, predicates: DataFrame, similarity: float = 0.7, gram: int | None = None) -> DataFrame:
     """(eval_id, train_id, containment): all pairs of an evaluation and a training statement that are the same or almost.
 
     Statements fall into classes: those of an exact kind by predicate, subject and value, which are one gram as a whole; texts by predicate
-    and word set, whose grams are word bigrams. The hashes of evaluation grams are partitioned, training is scanned for hits, and only
-    classes that hit are expanded to statements. Rows with null s, p, o or split, undeclared
+    and word set, with their n-grams. The hashes of evaluation grams are partitioned, training is scanned for hits, and only classes
+    that hit are expanded to statements. Rows with null s, p, o or split, undeclared
     predicates, blank nodes, invalid values, texts without words and rows without id are in no pair; repeated ids give repeated pairs.
     """
     rows = records(triples, predicates)
@@ -137,7 +149,7 @@ def cross_split_pairs(triples: DataFrame, predicates: DataFrame, similarity: flo
     member = keyed.select("h1", "h2", "stmt_id", "train")
     classes = keyed.where("text").groupBy("h1", "h2").agg(F.first("ph").alias("ph"), F.first("hashes").alias("hashes"), F.max("train").alias("train_too"), F.max(~F.col("train")).alias("eval_too"))
     classes = cut(classes)
-    near = near_classes(classes, similarity)
+    near = near_classes(classes, similarity, gram)
     eval_side = member.where(~F.col("train")).select(F.col("h1").alias("h1_a"), F.col("h2").alias("h2_a"), F.col("stmt_id").alias("eval_id"))
     train_side = member.where("train").select(F.col("h1").alias("h1_b"), F.col("h2").alias("h2_b"), F.col("stmt_id").alias("train_id"))
     same = eval_side.withColumnsRenamed({"h1_a": "h1_b", "h2_a": "h2_b"}).join(train_side, ["h1_b", "h2_b"]).select("eval_id", "train_id", F.lit(1.0).alias("containment"))
