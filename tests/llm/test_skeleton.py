@@ -1,17 +1,34 @@
 from __future__ import annotations
 
-from thistle.llm.skeleton import classes, look_alike_pairs, skeleton_of
+import unicodedata
+
+from thistle.llm.skeleton import Skeleton, classes, look_alike_pairs, prototypes
 
 SAME = [("Ａｒｃｈｉｖ", "Archiv"), ("Kanè", "Kanè"), ("Tower Ⅳ", "Tower IV"), ("ﬁeld", "field"), ("Re­gion", "Region"), ("a​b‎", "ab"), ("а‐b", "a-b"), ("x y", "x  y"), ("Оld", "Old"), ("　x ", "x"), ("ɑɡе", "age"), ("a֊", "a֊"), ("Kelvin K", "Kelvin K"), ("ё", "ë"), ("q̣̇", "q̣̇"), ("a－b", "a-b"), ("᠎a⁠", "a")]
 DIFFERENT = [("m²", "m2"), ("Canal", "canal"), ("Kane", "Kanè"), ("a-b", "ab"), ("a b", "ab"), ("l", "I"), ("O", "0"), ("①", "1"), ("x_y", "x-y"), ("я", "R")]
 
 
-def test_pairs_of_looks():
+def test_pairs_of_looks(spark):
+    skeleton_of = Skeleton(prototypes(spark))
     assert [p for p in SAME if skeleton_of(p[0]) != skeleton_of(p[1])] == []
     assert [p for p in DIFFERENT if skeleton_of(p[0]) == skeleton_of(p[1])] == []
 
 
-def test_skeleton_is_stable():
+def test_prototypes_keep_scripts_and_cases_apart(spark):
+    table = {c: to for c, to in prototypes(spark).items() if c.isalpha()}
+    assert len(table) > 100
+    seen = set()
+    for c, to in table.items():
+        key = (unicodedata.name(c).split()[0], to)
+        assert key not in seen and c.isupper() == to.isupper() and to.isascii()
+        seen.add(key)
+    #: Letters that look alike in every common typeface.
+    for to, letters in {"A": "ΑА", "B": "ΒВ", "E": "ΕЕ", "H": "ΗН", "I": "ΙІ", "J": "Ј", "K": "ΚК", "M": "ΜМ", "N": "Ν", "O": "ΟО", "P": "ΡР", "S": "Ѕ", "T": "ΤТ", "X": "ΧХ", "Y": "Υ", "Z": "Ζ", "a": "аɑ", "c": "с", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "ј", "o": "οоօ", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ν", "w": "ԝ", "x": "х", "y": "у"}.items():
+        assert all(table.get(c) == to for c in letters), (to, letters)
+
+
+def test_skeleton_is_stable(spark):
+    skeleton_of = Skeleton(prototypes(spark))
     for a, _ in SAME + DIFFERENT:
         assert skeleton_of(skeleton_of(a)) == skeleton_of(a)
     assert skeleton_of("") == skeleton_of("​ ") == ""

@@ -6,20 +6,14 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..runtime import cut, map_arrow
 
-#: Letters of other scripts (and phonetic letters) that look like a basic Latin letter, by that letter.
-LOOK_ALIKE = {
-    "A": "ΑА", "B": "ΒВ", "C": "СϹ", "E": "ΕЕ", "F": "Ϝ", "G": "Ԍ", "H": "ΗН", "I": "ΙІӀ", "J": "ЈͿ", "K": "ΚК", "M": "ΜМϺ", "N": "Ν",
-    "O": "ΟОՕ", "P": "ΡР", "Q": "Ԛ", "S": "ЅՏ", "T": "ΤТ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ΧХ", "Y": "ΥҮ", "Z": "Ζ",
-    "a": "аɑα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ",
-    "q": "ԛզ", "s": "ѕ", "u": "սυ", "v": "νѵ", "w": "ԝ", "x": "х", "y": "уү",
-}
 #: Hyphens and dashes of hyphen length.
 HYPHENS = "‐‑‒–⁃˗−﹘﹣－"
-_PROTOTYPE = {ord(c): to for to, chars in LOOK_ALIKE.items() for c in chars} | {ord(c): "-" for c in HYPHENS}
+#: Latin letters that are another way to draw a basic one.
+DRAWN = {"ɑ": "a", "ɡ": "g"}
 #: Compatibility forms that look different from what they stand for.
 _KEEP = ("<super>", "<sub>", "<circle>", "<square>", "<fraction>", "<vertical>")
 #: Characters without a look of their own besides those of category Cf: joiners, fillers, variation selectors.
@@ -34,42 +28,72 @@ def _decompose(c: str, depth: int = 0) -> str:
     return "".join(_decompose(chr(int(x, 16)), depth + 1) for x in parts[parts[0].startswith("<") :])
 
 
-def _character(c: str) -> str:
+def prototypes(spark: SparkSession) -> dict[str, str]:
+    """The look-alike table: letters of other scripts, by the basic Latin letter they look like.
+
+    It is drawn from Unicode's confusables, as Spark's own ICU library holds them: of the letters with case those whose confusables skeleton is
+    that of a basic Latin letter of the same case. Within a script no two letters get the same one, so texts of one script that differ
+    stay different: the letter that looks alike in both cases comes first, then the first by code point. Latin letters stay as they are, but
+    for DRAWN: the skeleton of ICU itself would also make I, l and 1 equal, or m and rn.
+    """
+    jvm = spark.sparkContext._jvm
+    cased = [c for c in map(chr, range(128, 0x1F000)) if not "\ud800" <= c <= "\udfff" and unicodedata.category(c) in ("Lu", "Ll") and not unicodedata.decomposition(c)]
+    other = [c for c in cased if not unicodedata.name(c, "LATIN").startswith("LATIN")]
+    basic = [c for c in map(chr, range(128)) if c.isalpha()]
+    looks = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton(1, "\n".join(basic + other)).split("\n")
+    look = dict(zip(basic + other, looks, strict=True))
+    latin = {(look[c], c.isupper()): c for c in basic}
+    found: dict[tuple[str, str], list[tuple[bool, str]]] = {}
+    for c in other:
+        to = latin.get((look[c], c.isupper()))
+        if to:
+            twin = c.swapcase()
+            both = twin != c and latin.get((look.get(twin), twin.isupper())) == to.swapcase()
+            found.setdefault((unicodedata.name(c).split()[0], to), []).append((not both, c))
+    return {min(cs)[1]: to for (_, to), cs in found.items()} | DRAWN | dict.fromkeys(HYPHENS, "-")
+
+
+def _character(c: str, prototype: dict[str, str]) -> str:
     """A character's prototype: decomposed, invisible ones dropped, spaces as one kind, look-alikes replaced, decomposed again."""
     out = []
     for x in _decompose(c):
         if ord(x) in _INVISIBLE or unicodedata.category(x) == "Cf":
             continue
-        x = _PROTOTYPE.get(ord(x), x)
+        x = prototype.get(x, x)
         out.append(" " if x.isspace() or unicodedata.category(x) in ("Zs", "Zl", "Zp", "Cc") else x)
     return "".join(_decompose(x) for x in out)
 
 
-class _Table(dict):
-    def __missing__(self, k: int) -> str:
-        self[k] = v = _character(chr(k))
-        return v
+class Skeleton(dict):
+    """skeleton(text) is equal for texts that look the same: letters, accents, case, digits and marks count, their encoding doesn't."""
 
+    def __init__(self, prototype: dict[str, str]):
+        super().__init__()
+        self.prototype = prototype
 
-_TABLE = _Table()
+    def __missing__(self, k: int) -> str:
+        self[k] = v = _character(chr(k), self.prototype)
+        return v
 
+    def __call__(self, text: str) -> str:
+        t = text.translate(self)
+        if not t.isascii():
+            t = unicodedata.normalize("NFD", t)  # puts several accents of one letter in order
+        return " ".join(x for x in t.split(" ") if x)
 
-def skeleton_of(text: str) -> str:
-    """Equal for texts that look the same: letters, accents, case, digits and marks count, their encoding doesn't."""
-    t = text.translate(_TABLE)
-    if not t.isascii():
-        t = unicodedata.normalize("NFD", t)  # puts several accents of one letter in order
-    return " ".join(x for x in t.split(" ") if x)
 
+def _skeletons(prototype: dict[str, str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skeleton = Skeleton(prototype)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([skeleton(t) for t in b.column(0).to_pylist()], pa.string())], names=["text", "skeleton"])
 
-def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([skeleton_of(t) for t in b.column(0).to_pylist()], pa.string())], names=["text", "skeleton"])
+    return run
 
 
 def _texts(df: DataFrame, column: str) -> DataFrame:
     """(text, skeleton) of every distinct text."""
-    return map_arrow(df.select(F.col(f"`{column}`").alias("text")).where("text is not null").distinct(), _skeletons, "text string, skeleton string")
+    return map_arrow(df.select(F.col(f"`{column}`").alias("text")).where("text is not null").distinct(), _skeletons(prototypes(df.sparkSession)), "text string, skeleton string")
 
 
 def skeletons(df: DataFrame, column: str) -> DataFrame:
