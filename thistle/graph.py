@@ -13,7 +13,7 @@ from .plans import ast as A
 from .plans.compile import Compiler
 from .plans.mapping import TableMap
 from .plans.sparql import parse
-from .runtime import cut
+from .runtime import cut, cut_counted
 
 
 class Graph:
@@ -26,13 +26,14 @@ class Graph:
 
     def __init__(
         self, spark: SparkSession, tables: list[TableMap] | None = None, triples: DataFrame | None = None, quoted: DataFrame | None = None,
-        vectors: dict[str, str] | None = None, vocabulary: str = A.VOCABULARY, prefixes: dict[str, str] | None = None, merge_stars: bool = True, depth: int | None = None,
+        vectors: dict[str, str] | None = None, vocabulary: str = A.VOCABULARY, prefixes: dict[str, str] | None = None, merge_stars: bool = True, depth: int | None = None, compact_after: int = 8,
     ):
         self.spark, self.tables, self.triples, self.quoted = spark, tables or [], triples, quoted
         self.vocabulary, self.prefixes, self.merge_stars, self.depth = vocabulary, {"tv": vocabulary, **(prefixes or {})}, merge_stars, depth
         self.declared = dict(vectors or {})
         self.functions: dict[str, tuple[Callable, str]] = {}
         self.size = 1e7
+        self.compact_after, self.updates = compact_after, 0
         self._annotated: DataFrame | None = None
         self.rows_of: dict[str, int] = {}
         self.dimensions: dict[str, int] = {}
@@ -179,9 +180,9 @@ class Graph:
         return self.query(translate(text, self.base))
 
     def gql(self, text: str) -> DataFrame:
-        from .plans.gql import to_cypher
+        from .plans.gql import translate
 
-        return self.cypher(to_cypher(text))
+        return self.query(translate(text, self.base))
 
     @property
     def base(self) -> str:
@@ -216,21 +217,36 @@ class Graph:
         return self.insert(data, self.spark.createDataFrame(quoted, "key string, qs string, qp string, qo string") if quoted else None) if q.form == "INSERT" else self.delete(data)
 
     def insert(self, data: DataFrame, quoted: DataFrame | None = None) -> int:
+        """Adds what isn't there; the number added. Only the new statements are written: the graph is a table, what came since, and what went."""
         data = data.select("s", "p", "o").distinct()
-        new = cut(data if self.triples is None else data.join(self.triples, ["s", "p", "o"], "left_anti"))
-        self.triples = new if self.triples is None else cut(self.triples.select("s", "p", "o").unionByName(new))
+        new, seen = cut_counted(data if self.triples is None else data.join(self.triples, ["s", "p", "o"], "left_anti"), n=F.count(F.lit(1)))
+        if seen["n"]:
+            self.triples = new if self.triples is None else self.triples.select("s", "p", "o").unionByName(new)
+            self._grown()
         if quoted is not None:
             self.quoted = cut((quoted if self.quoted is None else self.quoted.unionByName(quoted)).distinct())
         self._changed()
-        return new.count()
+        return seen["n"]
 
     def delete(self, data: DataFrame) -> int:
+        """Takes statements away; the number that were there. Only these are written, as tombstones."""
         if self.triples is None:
             return 0
-        gone = self.triples.join(data.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_semi").count()
-        self.triples = cut(self.triples.join(data.select("s", "p", "o"), ["s", "p", "o"], "left_anti"))
+        gone, seen = cut_counted(self.triples.select("s", "p", "o").join(data.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_semi").distinct(), n=F.count(F.lit(1)))
+        if seen["n"]:
+            self.triples = self.triples.join(gone, ["s", "p", "o"], "left_anti")
+            self._grown()
         self._changed()
-        return gone
+        return seen["n"]
+
+    def _grown(self) -> None:
+        """After `compact_after` updates the graph is written as one table again."""
+        self.updates += 1
+        if self.updates >= self.compact_after:
+            self.compact()
+
+    def compact(self) -> None:
+        self.triples, self.updates = cut(self.triples), 0
 
 
 def epoch(c: str) -> Column:
