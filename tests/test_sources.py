@@ -79,10 +79,28 @@ def test_store(spark, tmp_path, rows):
     assert s.delete(graph(spark, [("x", "q", "y"), ("no", "q", "y")]).triples) == 1 and s.triples(0).count() == 2
     assert Graph(spark, triples=s.triples()).ask("ASK { <http://ex/x> ?p <http://ex/z> }")
     (tmp_path / "store/v9/triples").mkdir(parents=True)
-    assert s.versions() == [0, 1, 2] and s.compact() == [0, 1]
+    assert s.versions() == [0, 1, 2] and rows(s.triples(1)) != rows(s.triples(2))
+    # a change is written as itself alone
+    assert rows(spark.read.parquet(f"{tmp_path}/store/v2/removed").select("s", "o")) == [(EX + "x", EX + "y")]
+    assert rows(s.verify(), "version", "ok") == [(0, True), (1, True), (2, True), (9, False)] and s.repair() == [9]
+    whole = rows(s.triples())
+    assert s.compact() == [0, 1, 2] and rows(s.triples()) == whole
+    assert sorted(r["value"] for r in s.export().collect())[0].startswith(f"<{EX}x> <{EX}p>")
+    assert s.replace(graph(spark, [("new", "p", "y")]).triples) == 1 and s.triples().count() == 1
     s.clear()
     assert s.triples().count() == 0
 
 
+def test_a_lost_file_is_found_and_repaired(spark, tmp_path, rows):
+    s = Store(spark, f"file://{tmp_path}/store", spread=2)
+    s.insert(graph(spark, [("x", "p", "y")]).triples)
+    s.insert(graph(spark, [("x", "p", "z")]).triples)
+    s.insert(graph(spark, [("x", "p", "w")]).triples)
+    for f in (tmp_path / "store/v1").rglob("*.parquet"):
+        f.unlink()
+    assert rows(s.verify(), "version", "ok") == [(0, True), (1, False), (2, True)]
+    assert s.repair() == [1, 2] and rows(s.triples(), "o") == [(EX + "y",)]
+
+
 def test_service_description(spark):
     assert "void:triples 2" in writers.service_description(graph(spark, [("x", "p", "y"), ("x", "q", "y")]).triples)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import json
 import re
+from hashlib import md5
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
 from itertools import count
-from zlib import crc32
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -49,7 +49,7 @@ def _key(t: Column) -> Column:
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """(line, s, p, o, g, ok) of N-Triples-star and N-Quads lines; blank lines and comments are left out, malformed ones have ok = false.
 
-    All in the JVM: one match a line. Quoted statements may be nested one level.
+    All in the JVM: one match a line. Quoted statements may be nested one level; load_lines() reads deeper ones.
     """
     rows = lines.select(F.col(column).alias("line")).where(~F.trim("line").startswith("#") & (F.trim("line") != ""))
     part = [F.regexp_extract("line", _LINE, k) for k in (1, 2, 3, 4)]
@@ -58,15 +58,50 @@ def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select("line", good(_key(F.col("s"))).alias("s"), good(_plain(F.col("p"))).alias("p"), good(_key(F.col("o"))).alias("o"), good(F.when(F.col("g") != "", _plain(F.col("g")))).alias("g"), "ok", *(F.when(F.col(c).startswith("<<"), F.col(c)).alias(f"raw_{c}") for c in "so"))
 
 
+def _nested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with quoted statements in quoted ones: kind s is a statement, q a quoted one with its key, e a line that can't be read."""
+    names = ("line", "kind", "key", "s", "p", "o")
+    for b in batches:
+        out: list[tuple] = []
+        for line in b.column(0).to_pylist():
+            try:
+                g = A.Group()
+                parser = _Turtle(line)
+                parser.triples(g)
+                parser.need(".")
+                found: list[tuple] = []
+
+                def add(t, line=line, found=found) -> None:
+                    found.append((line, "s", None, *(constant_term(x) for x in (t.s, t.p, t.o))))
+                    for x in (t.s, t.o):
+                        if isinstance(x, A.Quoted):
+                            found.append((line, "q", constant_term(x), *(constant_term(y) for y in (x.s, x.p, x.o))))
+                            add(x)
+
+                for t in g.parts:
+                    add(t)
+                out += found
+            except (A.QueryError, ValueError, AttributeError, KeyError, IndexError):
+                out.append((line, "e", None, None, None, None))
+        yield pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(names)}, schema=pa.schema([(n, pa.string()) for n in names]))
+
+
 def load_lines(lines: DataFrame, column: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(triples, quoted, errors): statements each once, with those that are quoted asserted, too; quoted statements by key; malformed lines."""
-    rows = cut(parse_lines(lines, column))  # read three times below
-    ok = rows.where("ok")
+    """(triples, quoted, errors): statements each once, with those that are quoted asserted, too; quoted statements by key; malformed lines.
+
+    Lines with quotes in quotes, at any depth, are read by the parser of whole documents, all others by one match in the JVM.
+    """
+    rows = cut(parse_lines(lines, column))  # read several times below
+    ok, rest = rows.where("ok"), rows.where("not ok").select("line")
     raw = ok.select(F.explode(F.array_compact(F.array("raw_s", "raw_o"))).alias("raw")).distinct()
     s, p, o = _inner(F.col("raw"))
     quoted = raw.select(_key(F.col("raw")).alias("key"), s.alias("qs"), p.alias("qp"), o.alias("qo")).distinct()
     inner = quoted.select(F.col("qs").alias("s"), F.col("qp").alias("p"), F.col("qo").alias("o"))
-    return ok.select("s", "p", "o").unionByName(inner).distinct(), quoted, rows.where("not ok").select("line")
+    deep = F.col("line").rlike(r"<<.*<<")
+    nested = map_arrow(rest.where(deep), _nested, "line string, kind string, key string, s string, p string, o string")
+    triples = ok.select("s", "p", "o").unionByName(inner).unionByName(nested.where("kind = 's'").select("s", "p", "o")).distinct()
+    quoted = quoted.unionByName(nested.where("kind = 'q'").select("key", F.col("s").alias("qs"), F.col("p").alias("qp"), F.col("o").alias("qo"))).distinct()
+    return triples, quoted, rest.where(~deep).unionByName(nested.where("kind = 'e'").select("line"))
 
 
 def read_ntriples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -249,7 +284,7 @@ def _documents(parse: Callable[[str], list[tuple[str, str, str]]]):
                 except (A.QueryError, ET.ParseError, ValueError, KeyError, IndexError) as e:
                     rows, error = [(None, None, None, str(e) or type(e).__name__)], e
                 # blank nodes belong to their file
-                mine = f"_:f{crc32(file.encode())}x" if error is None else ""
+                mine = f"_:f{md5(file.encode()).hexdigest()}x" if error is None else ""
                 own = lambda x, mine=mine: mine + x[2:] if isinstance(x, str) and x.startswith("_:") else x
                 yield pa.RecordBatch.from_pydict({"file": [file] * len(rows), "s": [own(r[0]) for r in rows], "p": [r[1] for r in rows], "o": [own(r[2]) for r in rows], "error": [r[3] for r in rows]}, schema=pa.schema([(c, pa.string()) for c in ("file", "s", "p", "o", "error")]))
 
