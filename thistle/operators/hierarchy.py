@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import cut, forget
+from ..runtime import cut, cut_counted, forget
 
 
 @dataclass
@@ -25,10 +25,10 @@ def double_pointers(edges: DataFrame, nodes: DataFrame, targets: str = "roots",
     an array, the smallest of several in order of its names. loops: whether to look for the nodes on loops.
 
     After round k a jump joins a node with each ancestor exactly 2^k edges up, and `reached` holds every target less than 2^k edges up.
-    One join of the jumps with jumps and reached targets doubles both. Nodes that still have jumps when the set of such nodes no longer
-    shrinks lead into a loop: below any other node with a jump of 2^k edges lies one whose longest way up has less than 2^(k+1). A round
-    that reaches nothing new shows that nothing is farther, by the same argument on shortest ways. So the number of rounds is logarithmic
-    in the depth. Empty edges give each node as its own root.
+    One join of the jumps with jumps and reached targets doubles both. A round that reaches nothing new shows that nothing is farther: on a
+    shortest way of 2^(k+1) edges or more lies a node whose shortest way to the same target has from 2^k to less. So the number of rounds is
+    logarithmic in the depth. Nodes on loops begin and end jumps of any length, so they are looked for among those that still do. Empty
+    edges give each node as its own root.
     """
     spark = edges.sparkSession
     e = edges.where("child is not null and parent is not null").select("hier", "child", "parent").distinct()
@@ -36,20 +36,15 @@ def double_pointers(edges: DataFrame, nodes: DataFrame, targets: str = "roots",
     e = cut(e)
     start = n if targets == "all" else n.join(e.select("hier", F.col("child").alias("node")).distinct(), ["hier", "node"], "left_anti")
     way = lambda *c: [F.array(*c).alias("path")] if paths else []
-    state = cut(
+    sizes = {"reached": F.count_if(~F.col("jump")), "jumps": F.count_if(F.col("jump"))}
+    state, seen = cut_counted(
         start.select("hier", "node", F.col("node").alias("target"), F.lit(0).alias("d"), F.lit(False).alias("jump"), *way("node")).unionByName(
             e.select("hier", F.col("child").alias("node"), F.col("parent").alias("target"), F.lit(1).alias("d"), F.lit(True).alias("jump"), *way("child", "parent"))
-        )
+        ),
+        **sizes,
     )
-
-    def counts(s: DataFrame) -> tuple[int, int, int]:
-        r = s.groupBy("jump", "hier", "node").agg(F.count(F.lit(1)).alias("n")).groupBy("jump").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("n")).collect()
-        got = {x["jump"]: x for x in r}
-        return (got[False]["n"] if False in got else 0), (got[True]["nodes"] if True in got else 0), (got[True]["n"] if True in got else 0)
-
-    reached, open_nodes, jumps = counts(state)
     step = 1
-    while jumps:
+    while seen["jumps"]:
         left = state.where("jump").select("hier", F.col("node").alias("from"), F.col("target").alias("node"), *([F.col("path").alias("head")] if paths else []))
         joined = left.join(state, ["hier", "node"]).select(
             "hier", F.col("from").alias("node"), "target", (F.col("d") + step).alias("d"), "jump",
@@ -60,17 +55,14 @@ def double_pointers(edges: DataFrame, nodes: DataFrame, targets: str = "roots",
             best = every.groupBy("hier", "node", "target", "jump").agg(F.min(F.struct("d", "path")).alias("b")).select("hier", "node", "target", F.col("b.d").alias("d"), "jump", F.col("b.path").alias("path"))
         else:
             best = every.groupBy("hier", "node", "target", "jump").agg(F.min("d").alias("d")).select("hier", "node", "target", "d", "jump")
-        old, state = state, cut(best)
-        now = counts(state)
-        stable = now[1] == open_nodes
-        done = stable and now[0] == reached
-        last_open, (reached, open_nodes, jumps) = old, now
+        old, before = state, seen
+        state, seen = cut_counted(best, **sizes)
+        forget(old)
         step *= 2
-        if done:
+        if seen["reached"] == before["reached"]:
             break
-        forget(last_open)
     result = state.where("not jump").select("hier", "node", "target", F.col("d").alias("node_depth"), *(["path"] if paths else []))
-    if not jumps or not loops:
+    if not seen["jumps"] or not loops:
         return Hierarchy(result, spark.createDataFrame([], n.schema))
     return Hierarchy(result, _on_loops(e, state.where("jump")))
 
@@ -78,13 +70,15 @@ def double_pointers(edges: DataFrame, nodes: DataFrame, targets: str = "roots",
 def _settled(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of nodes with one link each: (hier, node, end), the first node without a link that theirs lead to, and (hier, node) of those that never
     come to one. links: hier, node, to. Pointers are doubled until the open ones no longer get fewer."""
-    state = cut(links.join(links.select("hier", F.col("node").alias("to"), F.lit(True).alias("open")), ["hier", "to"], "left").select("hier", "node", "to", F.coalesce("open", F.lit(False)).alias("open")))
+    still = {"n": F.count_if(F.col("open"))}
+    state, seen = cut_counted(links.join(links.select("hier", F.col("node").alias("to"), F.lit(True).alias("open")), ["hier", "to"], "left").select("hier", "node", "to", F.coalesce("open", F.lit(False)).alias("open")), **still)
     left = -1
-    while (now := state.where("open").count()) not in (0, left):
-        left = now
+    while seen["n"] not in (0, left):
+        left = seen["n"]
         ahead = state.select("hier", F.col("node").alias("to"), F.col("to").alias("further"), F.col("open").alias("still"))
         moved = state.join(ahead, ["hier", "to"], "left")
-        old, state = state, cut(moved.select("hier", "node", F.when(F.col("open"), F.col("further")).otherwise(F.col("to")).alias("to"), (F.col("open") & F.coalesce("still", F.lit(False))).alias("open")))
+        old = state
+        state, seen = cut_counted(moved.select("hier", "node", F.when(F.col("open"), F.col("further")).otherwise(F.col("to")).alias("to"), (F.col("open") & F.coalesce("still", F.lit(False))).alias("open")), **still)
         forget(old)
     return state.where("not open").select("hier", "node", F.col("to").alias("end")), state.where("open").select("hier", "node")
 
@@ -107,12 +101,13 @@ def _on_loops(e: DataFrame, jumps: DataFrame) -> DataFrame:
     meet = inner.join(passing.select("hier", F.col("node").alias("a")), ["hier", "a"], "left_anti")
     short = meet.join(ends.select("hier", F.col("node").alias("b"), "end"), ["hier", "b"], "left").select("hier", "a", F.coalesce("end", "b").alias("b"))
     short = short.join(rings.select("hier", F.col("node").alias("b")), ["hier", "b"], "left_anti")
-    close = cut(short.select("hier", "a", "b").distinct())
-    size = -1
-    while (now := close.count()) != size:
-        size = now
+    close, seen = cut_counted(short.select("hier", "a", "b").distinct(), n=F.count(F.lit(1)))
+    size = 0
+    while seen["n"] != size:
+        size = seen["n"]
         twice = close.select("hier", "a", F.col("b").alias("m")).join(close.select("hier", F.col("a").alias("m"), "b"), ["hier", "m"]).select("hier", "a", "b")
-        old, close = close, cut(close.unionByName(twice).distinct())
+        old = close
+        close, seen = cut_counted(close.unionByName(twice).distinct(), n=F.count(F.lit(1)))
         forget(old)
     runs = starts.withColumnRenamed("end", "b").join(ends.withColumnRenamed("end", "a"), ["hier", "node"])
     on_run = runs.where("a = b").select("hier", "node").unionByName(runs.join(close, ["hier", "a", "b"]).select("hier", "node"))
