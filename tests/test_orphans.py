@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from thistle.operators.orphans import DAY, OrphanTracker, absent, probe
+from thistle.operators.orphans import DAY, FIRST, OrphanTracker, probe
 
 REFS, PARENTS = "key string, at long, id int", "key string, from_us long, to_us long"
 
@@ -48,11 +48,12 @@ def test_batches_equal_one_batch(spark):
     rs, ps = "id int, tbl string, key string, at long", "key string, from_us long, to_us long, parent_id int"
     one = OrphanTracker(spark)
     want = {x["id"] for x in one.advance(spark.createDataFrame(refs, rs), spark.createDataFrame(parents, ps)).collect()}
-    step = OrphanTracker(spark)
-    for k in range(3):
-        got = step.advance(spark.createDataFrame(refs[k::3], rs), spark.createDataFrame(parents[k::3], ps))
-    assert {x["id"] for x in got.collect()} == want
-    assert sum(x["orphans"] for x in step.snapshot().collect()) == len(want)
+    for compact in (8, 2):
+        step = OrphanTracker(spark, compact=compact)
+        for k in range(5):
+            got = step.advance(spark.createDataFrame(refs[k::5], rs), spark.createDataFrame(parents[k::5], ps))
+        assert {x["id"] for x in got.collect()} == want
+        assert sum(x["orphans"] for x in step.snapshot().collect()) == len(want)
 
 
 def test_parents_arrive_and_leave(spark):
@@ -64,6 +65,12 @@ def test_parents_arrive_and_leave(spark):
     assert ids(t.advance(spark.createDataFrame([], rs), spark.createDataFrame([("a", 4, 8, 7)], ps))) == [2]
 
 
-def test_absent_ignores_extra_columns(spark):
-    refs = spark.createDataFrame([("a", 1, 0), ("b", 2, 0), (None, 3, 0)], "key string, id int, from_us int")
-    assert [x["id"] for x in absent(refs, spark.createDataFrame([("a", 1), (None, 2)], "key string, id int")).collect()] == [2]
+def test_timeless_parents_and_the_moment_of_report(spark):
+    t = OrphanTracker(spark)
+    rs, ps = "id int, tbl string, key string, at long, on_us long", "key string, from_us long, to_us long"
+    t.advance(spark.createDataFrame([(1, "t", "a", 0, None), (2, "t", "b", 5, 40 * DAY), (3, "t", None, 5, 5)], rs), spark.createDataFrame([("b", FIRST, None)], ps))
+    assert [(x["month"], x["orphans"], x["missing_keys"]) for x in t.snapshot().collect()] == [(None, 1, 1)]
+    # a parent that is known already touches nothing
+    t.advance(spark.createDataFrame([(4, "t", "c", 1, 40 * DAY)], rs), spark.createDataFrame([("b", FIRST, None), ("a", FIRST, None)], ps))
+    assert [(x["month"], x["orphans"]) for x in t.snapshot().collect()] == [("1970-02", 1)]
+    assert [x["id"] for x in t.pending.collect()] == [4]

@@ -31,8 +31,8 @@ def test_lexical(spark):
 @pytest.mark.parametrize(
     "kind, good, bad",
     [
-        ("integer", {'"+07"': "7", "12": "12", '"884.0"^^xsd:decimal': "884", '" -5 "': "-5", '"1E2"': "100", '"-0"': "0"}, ['"1.5"', '"12abc"', '"1-2"', '""', '"about 40"', '"-"', None, f"{E}E1", '"INF"', '"1e999"']),
-        ("decimal", {'"282,25"': "282.25", '"3.599E1"^^xsd:double': "35.99", '"+4.00"': "4.00", "9": "9.00", '".5"': "0.50", '"2.345"': "2.35", '"5."': "5.00"}, ['"1.2.3"', '"NaN"', '"12 m"', '"1 2"', '"?"', '","']),
+        ("integer", {'"+07"': "7", "12": "12", '"884.0"^^xsd:decimal': "884", '" -5 "': "-5", '"1E2"': "100", '"-0"': "0", '"12345678901234567890123456789"': "12345678901234567890123456789", '"-0012345678901234567890123456789.000"': "-12345678901234567890123456789", '"1e30"': "1" + "0" * 30, '"120e-1"': "12"}, ['"1.5"', '"12abc"', '"1-2"', '""', '"about 40"', '"-"', None, f"{E}E1", '"3.00000000001"', '"1e-11"', '"INF"', '"1e9999"']),
+        ("decimal", {'"282,25"': "282.25", '"3.599E1"^^xsd:double': "35.99", '"+4.00"': "4.00", "9": "9.00", '".5"': "0.50", '"2.345"': "2.35", '"5."': "5.00", '"1234567890123456789012345678901234567890,125"': "1234567890123456789012345678901234567890.13", '"-1e-11"': "0.00", '"0.00499999999999999"': "0.00", '"-99.999999999999"': "-100.00", '".0050000000000001"': "0.01", '"2,5e40"': "25" + "0" * 39 + ".00"}, ['"1.2.3"', '"NaN"', '"12 m"', '"1 2"', '"?"', '","']),
         ("boolean", {'"TRUE"': "true", "f": "false", '"0"^^xsd:boolean': "false", '"Yes"@en': "true", "1": "true"}, ['"maybe"', '""', '"2"']),
         ("date", {'"1936-07-12"^^xsd:date': "1936-07-12", '"1924-07-01T00:00:00Z"^^xsd:dateTime': "1924-07-01", '"19000528"': "1900-05-28", '"1.12.1785"@de': "1785-12-01", '"1735-8-20"': "1735-08-20"}, ['"1999-02-30"', '"spring 1912"', '"20011301"', '"31.4.1999"', '"1999"']),
         ("string", {'"  n/a "': "n/a", '"x y"@en': "x y"}, ['"   "', '""', '" "']),

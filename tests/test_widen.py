@@ -19,7 +19,7 @@ def test_newest_valid_value_wins(spark):
     w = widen(t, p)
     r = w.collect()
     assert len(r) == 1 and r[0]["n"] == Decimal(3) and str(r[0]["d"]) == "1999-02-01" and r[0]["n_2"] == Decimal("1.50") and r[0]["empty"] is None
-    assert set(w.columns) == {"ordinal", "s", "n", "n_2", "d", "s_2", "empty"}
+    assert set(w.columns) == {"ordinal", "s", "n", "n_2", "d", "s_2", "empty", "overflow"}
     assert {(x["p"].rsplit("/", 1)[1], x["val_text"]) for x in narrow(w).collect()} == {("n", "3"), ("n", "1.50"), ("d", "1999-02-01")}
 
 
@@ -44,4 +44,13 @@ def test_empty_tables(spark):
 
 def test_long_texts(spark):
     t, p = make(spark, [("kge:a", "kgp:s", '"' + "x" * 300_000 + '"', 1), ("kge:a", "kgp:n", '"' + "9" * 5000 + '"', 1)])
-    assert [(r["p"][-1], len(r["val_text"])) for r in narrow(widen(t, p)).collect()] == [("s", 300_000)]
+    assert sorted((r["p"][-1], len(r["val_text"])) for r in narrow(widen(t, p)).collect()) == [("n", 5000), ("s", 300_000)]
+
+
+def test_numbers_too_long_for_their_columns(spark):
+    t, p = make(spark, [("kge:a", "kgp:n", '"' + "7" * 38 + '"', 1), ("kge:b", "kgp:n", '"-' + "7" * 39 + '"', 1), ("kge:b", "http://other.example/x/n", '"' + "8" * 37 + '.125"', 1)])
+    w = widen(t, p)
+    rows = {r["s"][-1]: r for r in w.collect()}
+    assert rows["a"]["n"] == Decimal("7" * 38) and not rows["a"]["overflow"]
+    assert rows["b"]["n"] is None and rows["b"]["overflow"] == {"n": "-" + "7" * 39, "n_2": "8" * 37 + ".13"}
+    assert {(r["s"][-1], r["val_text"]) for r in narrow(w).collect()} == {("a", "7" * 38), ("b", "-" + "7" * 39), ("b", "8" * 37 + ".13")}

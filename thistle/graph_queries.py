@@ -52,8 +52,8 @@ add("f11_values_rows", "customer", 'SELECT ?c ?seg ?n WHERE { VALUES (?seg ?n) {
 add("j2_foreign_key", "nation region", "SELECT ?n ?r WHERE { ?x ex:n_name ?n ; ex:n_regionkey ?k . ?k ex:r_name ?r }", "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey")
 add("j9_chain", "customer nation region orders", "SELECT ?r (COUNT(*) AS ?n) (ROUND(SUM(?t)) AS ?total) WHERE { ?o ex:o_custkey/ex:c_nationkey/ex:n_regionkey ?g ; ex:o_totalprice ?t . ?g ex:r_name ?r } GROUP BY ?r",
     "SELECT r_name AS r, count(*) AS n, round(sum(o_totalprice)) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
-add("j10_star", "part", "SELECT ?p ?n ?b ?s WHERE { ?p a ex:Part ; ex:p_name ?n ; ex:p_brand ?b ; ex:p_size ?s ; ex:p_retailprice ?r FILTER(?r > 1500 && ?s < 10) }",
-    f"SELECT {iri('part', 'p_partkey')} AS p, p_name AS n, p_brand AS b, CAST(p_size AS BIGINT) AS s FROM part WHERE p_retailprice > 1500 AND p_size < 10")
+add("j10_star", "part", "SELECT ?p ?n ?b ?s WHERE { ?p a ex:Part ; ex:p_name ?n ; ex:p_brand ?b ; ex:p_size ?s ; ex:p_retailprice ?r FILTER(?r > 950 && ?s < 10) }",
+    f"SELECT {iri('part', 'p_partkey')} AS p, p_name AS n, p_brand AS b, CAST(p_size AS BIGINT) AS s FROM part WHERE p_retailprice > 950 AND p_size < 10")
 add("j6_cross_product", "region", "SELECT ?a ?b WHERE { ?x ex:r_name ?a . ?y ex:r_name ?b }", "SELECT x.r_name AS a, y.r_name AS b FROM region x, region y")
 add("j8_theta", "region", "SELECT ?a ?b WHERE { ?x ex:r_name ?a . ?y ex:r_name ?b FILTER(?a < ?b) }", "SELECT x.r_name AS a, y.r_name AS b FROM region x JOIN region y ON x.r_name < y.r_name")
 add("j_self_join", "supplier", "SELECT ?a ?b WHERE { ?a ex:s_nationkey ?n . ?b ex:s_nationkey ?n ; ex:s_acctbal ?v FILTER(?v > 9000 && ?a != ?b) }",
@@ -85,6 +85,12 @@ add("f12_exists_or", "orders lineitem", 'SELECT ?o WHERE { ?o ex:o_orderstatus ?
 add("x_minus", "customer orders", 'SELECT ?c WHERE { ?c ex:c_mktsegment "MACHINERY" MINUS { ?o ex:o_custkey ?c ; ex:o_orderpriority "1-URGENT" } }',
     f"SELECT {iri('customer', 'c_custkey')} AS c FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 
+add("f13_hidden_variables", "nation region", 'SELECT * WHERE { ?n ex:n_regionkey/ex:r_name ?r ; ex:n_name ?x FILTER(?r != "ASIA") } ORDER BY STRLEN(?x)', f"SELECT {iri('nation', 'n_nationkey')} AS n, r_name AS r, n_name AS x FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'")
+add("o7_sub_group", "orders customer", 'SELECT ?o ?m WHERE { ?o ex:o_custkey ?c ; ex:o_totalprice ?t . { ?c ex:c_mktsegment ?m ; ex:c_acctbal ?b FILTER(?b > 9000) { ?c ex:c_nationkey ?n FILTER(?t > 0 || ?n != ex:none) } } FILTER(?t > 300000) }',
+    f"SELECT {iri('orders', 'o_orderkey')} AS o, c_mktsegment AS m FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000 AND c_acctbal > 9000")
+add("a9_hidden_group_key", "part", "SELECT (COUNT(*) AS ?n) (MIN(?s) AS ?low) WHERE { ?p ex:p_type ?t ; ex:p_size ?s } GROUP BY (STRLEN(?t))", "SELECT count(*) AS n, CAST(min(p_size) AS BIGINT) AS low FROM part GROUP BY length(p_type)")
+add("p_chain_of_links", "customer nation region orders", "SELECT ?r (COUNT(*) AS ?n) WHERE { ?o ex:o_custkey ?c . ?c ex:c_nationkey ?k . ?k ex:n_regionkey ?r } GROUP BY ?r", f"SELECT {iri('region', 'n_regionkey')} AS r, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+
 # expressions
 
 add("e1_equal", "customer", 'SELECT ?c WHERE { ?c ex:c_mktsegment ?m ; ex:c_nationkey_id ?n FILTER(?m = "BUILDING" && ?n != 3) }', f"SELECT {iri('customer', 'c_custkey')} AS c FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey <> 3")
@@ -99,7 +105,7 @@ add("e8_case_and_length", "part", "SELECT ?p ?u ?l ?n WHERE { ?p ex:p_name ?x ;
 add("e9_strlen", "documents", "SELECT ?d ?n ?m WHERE { ?d ex:text ?t ; ex:n_chars ?n BIND(STRLEN(?t) AS ?m) FILTER(?m = ?n) }", f"SELECT {iri('documents', 'doc_id')} AS d, n_chars AS n, length(text) AS m FROM documents WHERE length(text) = n_chars")
 add("e10_replace", "part", 'SELECT ?p ?x WHERE { ?p ex:p_type ?t BIND(REPLACE(?t, "([A-Z])[a-z]+ ", "$1-") AS ?x) }', f"SELECT {iri('part', 'p_partkey')} AS p, regexp_replace(p_type, '([A-Z])[a-z]+ ', '\\1-', 'g') AS x FROM part")
 add("e11_concat", "nation region", 'SELECT ?x WHERE { ?k ex:n_name ?n ; ex:n_regionkey ?g . ?g ex:r_name ?r BIND(CONCAT(?n, " in ", ?r) AS ?x) }', "SELECT n_name || ' in ' || r_name AS x FROM nation JOIN region ON n_regionkey = r_regionkey")
-add("e12_contains", "part", 'SELECT ?p WHERE { ?p ex:p_name ?n FILTER(CONTAINS(?n, "9") && STRSTARTS(?n, "p") || STRENDS(?n, "00")) }', f"SELECT {iri('part', 'p_partkey')} AS p FROM part WHERE contains(p_name, '9') AND starts_with(p_name, 'p') OR ends_with(p_name, '00')")
+add("e12_contains", "part", 'SELECT ?p WHERE { ?p ex:p_name ?n FILTER(CONTAINS(?n, "lt") && STRSTARTS(?n, "blue") || STRENDS(?n, "gear")) }', f"SELECT {iri('part', 'p_partkey')} AS p FROM part WHERE contains(p_name, 'lt') AND starts_with(p_name, 'blue') OR ends_with(p_name, 'gear')")
 add("e13_regex", "documents", r'SELECT ?d WHERE { ?d ex:text ?t FILTER(REGEX(?t, "^[A-Z][a-z]+ was ")) }', f"SELECT {iri('documents', 'doc_id')} AS d FROM documents WHERE regexp_matches(text, '^[A-Z][a-z]+ was ')")
 add("e16_datatype", "orders", "SELECT ?o WHERE { ?o ex:o_totalprice ?t ; ex:o_custkey ?c ; ex:o_orderstatus ?s FILTER(DATATYPE(?t) = xsd:double && isIRI(?c) && isLiteral(?s) && !isLiteral(?c) && ?t > 440000) }",
     f"SELECT {iri('orders', 'o_orderkey')} AS o FROM orders WHERE o_totalprice > 440000")

@@ -53,6 +53,29 @@ def report(graph) -> dict:
     return out
 
 
+def maintain(graph, tables: bool = True, most_dead: float = 0.3) -> dict:
+    """One maintenance run over a Graph, as a batch job: its updates are written as one table, statistics are counted, tables are found anew, and the
+    neighbour index of a vector predicate is rebuilt where vectors came or went since. Queries meanwhile see the old tables. What was done.
+    """
+    done: dict = {"updates": graph.updates}
+    if graph.updates:
+        graph.compact()
+    graph.analyze()
+    done["predicates"] = len(graph.rows_of)
+    if tables:
+        done["tables"] = len(graph.find_tables())
+    near = graph.triples.where(F.col("p") == graph.vocabulary + "hnswHorizontalNeighbor").select(F.col("s").alias("node")).distinct()
+    done["indexed"] = 0
+    for predicate in graph.vector_predicates():
+        held = graph.triples.where(F.col("p") == predicate).select(F.col("s").alias("node")).distinct()
+        both = held.withColumn("a", F.lit(1)).join(near.withColumn("b", F.lit(1)), "node", "full")
+        n = both.agg(F.count("a").alias("held"), F.count("b").alias("indexed"), F.count(F.when(F.col("a").isNull() | F.col("b").isNull(), 1)).alias("off")).first()
+        if n["indexed"] and n["off"] > most_dead * n["indexed"] or n["held"] and n["indexed"] and n["off"]:
+            graph.index_vectors(predicate)
+            done["indexed"] += 1
+    return done
+
+
 class QueryMetrics:
     """The last queries' times and rows: nearest-rank percentiles, by shape if wanted, and how far estimates were off."""
 

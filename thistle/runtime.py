@@ -44,15 +44,21 @@ def _drop_all() -> None:
 atexit.register(_drop_all)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/thistle-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, *keys: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there, and lost executors don't matter.
 
     keys: sorts each file by these columns, so that later filters skip row groups.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/thistle-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     (df.sortWithinPartitions(*keys) if keys else df).write.option("compression", "zstd").parquet(path)
-    _made.append((spark, path))
     back = spark.read.schema(df.schema).parquet(path)
     back._thistle_path = path
     return back
