@@ -5,7 +5,7 @@ import os
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from thistle.llm.encode import VOCABULARY, decode, encode, pieces, token_counts
+from thistle.llm.encode import VOCABULARY, decode, encode, pieces, token_counts, word_table
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 S = "doc_id long, text string, ids int, tokens string, w string"
@@ -29,6 +29,16 @@ def test_ids_equal_the_public_tokenizers(spark):
     got = {r["doc_id"]: r["ids"] for r in encode(frame(spark, TEXTS), "doc_id", "text").collect()}
     assert [got[i] for i in range(len(TEXTS))] == want(TEXTS)
     assert got[1] == got[2] == []
+    # whatever the workers hold, down to nothing
+    for held in (0, 3):
+        few = {r["doc_id"]: r["ids"] for r in encode(frame(spark, TEXTS + TEXTS[:3]), "doc_id", "text", held=held).collect()}
+        assert [few[i] for i in range(len(TEXTS) + 3)] == want(TEXTS + TEXTS[:3])
+
+
+def test_every_word_once(spark):
+    table, n = word_table(frame(spark, TEXTS * 3), "text")
+    words = [r["word"] for r in table.collect()]
+    assert len(words) == n == len(set(words)) and sum(r["n"] for r in table.where("word = ' text'").collect()) == 3
 
 
 @settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
