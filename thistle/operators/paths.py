@@ -34,8 +34,10 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, depth: int | None
     if seeds is None and stop is None:
         one = F.lit("").alias("hier")
         every = double_pointers(e.select(one, F.col("src").alias("child"), F.col("dst").alias("parent")), e.select(one, F.explode(F.array("src", "dst")).alias("node")), targets="all", loops=False)
-        onward = every.reached.select(F.col("node").alias("mid"), F.col("target").alias("dst"))
-        return e.withColumnRenamed("dst", "mid").join(onward, "mid").select("src", "dst").distinct()
+        pairs = cut(every.reached.select(F.col("node").alias("src"), F.col("target").alias("dst"), "node_depth"))
+        # a start reaches itself over an edge to a node that leads back to it
+        loops = e.join(pairs.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi").select("src", F.col("src").alias("dst")).distinct()
+        return pairs.where("node_depth > 0").select("src", "dst").unionByName(loops)
     ends = None if stop is None else stop.select(F.col("node").alias("dst"))
     front = e if seeds is None else e.join(seeds.where("src is not null").select("src").distinct(), "src", "left_semi")
     front = cut(front)

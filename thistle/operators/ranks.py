@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..runtime import cut, forget
+from ..runtime import cut, cut_counted, forget
 
 
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """(node, rank) after that many rounds, summing to 1; edges: src, dst, each pair once; what dead ends hold is spread over all nodes.
 
     Edges are read from a table sorted by source; a round is one join and one sum with map-side combining, so a hub's incoming ranks are
-    added up before they are sent. Two rounds share a table.
+    added up before they are sent. What dead ends hold is summed up while a round's ranks are written.
     """
     e = edges.where("src is not null and dst is not null").select("src", "dst").distinct()
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
@@ -20,11 +20,12 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataF
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
-    ranks = cut(nodes.select("node", "n", F.lit(1.0 / n).alias("rank")))
+    dead = F.coalesce(F.sum(F.when(F.col("n").isNull(), F.col("rank"))), F.lit(0.0))
+    ranks, seen = cut_counted(nodes.select("node", "n", F.lit(1.0 / n).alias("rank")), dead=dead)
     for _ in range(rounds):
-        loose = ranks.where("n is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("x")).first()["x"]
+        loose = seen["dead"]
         got = ranks.select(F.col("node").alias("src"), "rank").join(e, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") / F.col("n")).alias("in"))
-        new = cut(nodes.join(got, "node", "left").select("node", "n", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("in", F.lit(0.0))).alias("rank")))
+        new, seen = cut_counted(nodes.join(got, "node", "left").select("node", "n", (F.lit((1 - damping) / n + damping * loose / n) + damping * F.coalesce("in", F.lit(0.0))).alias("rank")), dead=dead)
         forget(ranks)
         ranks = new
     return ranks.select("node", "rank")

@@ -5,25 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..plans.ast import VOCABULARY
-from ..runtime import cut
+from ..runtime import cut, cut_counted
+
+
+#: Citations that one round goes on.
+HOPS = 4
 
 
 def cascade(seeds: DataFrame, citations: DataFrame) -> DataFrame:
     """(id, depth): the seeds at 0, and everything that cites one of them, directly or through others, at its least distance.
 
     citations: child, parent (a child cites its parent). Loops end as soon as nothing new falls; nulls cite nothing. The state of a round is
-    only its newly fallen ids, matched with the citations by one join.
+    only its newly fallen ids, matched with the citations HOPS times over before they are written.
     """
     edges = cut(citations.where("child is not null and parent is not null").select("child", "parent").distinct())
     front = cut(seeds.select("id").where("id is not null").distinct().withColumn("depth", F.lit(0)))
     fallen, depth = front, 0
     while True:
-        depth += 1
-        step = front.select(F.col("id").alias("parent")).join(edges, "parent").select(F.col("child").alias("id")).distinct()
-        front = cut(step.join(fallen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+        step, ahead = front.select("id"), None
+        for k in range(1, HOPS + 1):
+            step = step.withColumnRenamed("id", "parent").join(edges, "parent").select(F.col("child").alias("id")).distinct()
+            now = step.withColumn("depth", F.lit(depth + k))
+            ahead = now if ahead is None else ahead.unionByName(now)
+        new, seen = cut_counted(ahead.groupBy("id").agg(F.min("depth").alias("depth")).join(fallen.select("id"), "id", "left_anti"), n=F.count(F.lit(1)))
+        if not seen["n"]:
             return fallen
-        fallen = fallen.unionByName(front)
+        fallen, depth = fallen.unionByName(new), depth + HOPS
+        front = new.where(F.col("depth") == depth)
 
 
 def retraction_set(triples: DataFrame, quoted: DataFrame, root: str, selected_from: list[str] | None = None, reserved: str = VOCABULARY) -> DataFrame:

@@ -145,10 +145,11 @@ class Compiler:
 
     def group(self, g: A.Group, filters: list | None = None, seed: Rel | None = None) -> Rel:
         """filters: takes the group's own filters instead of their being applied (they are then part of an outer join's condition)."""
-        r, own, basic = seed or self.unit(), [], []
+        r, own, basic, hidden = seed or self.unit(), [], [], []
         for part in g.parts:
-            if isinstance(part, A.Triple) and not isinstance(part.p, A.Repeat | A.Sequence | A.Alternative | A.Inverse):
-                basic.append(part)
+            # steps of a path that are single patterns take part in the order of joins like all others
+            if (plain := self._plain(part, hidden)) is not None:
+                basic += plain
                 continue
             if isinstance(part, A.Filter):
                 own.append(part.expr)
@@ -158,6 +159,8 @@ class Compiler:
             r = self.part(r, part)
         if basic:
             r = self.join(r, self.basic(basic))
+        if gone := [x for x in hidden if x in r.vars]:
+            r = Rel(r.df.drop(*gone), {k: v for k, v in r.vars.items() if k not in gone}, r.maybe - set(gone), r.scores, r.size)
         if filters is not None:
             filters.extend(own)
             return r
@@ -165,6 +168,31 @@ class Compiler:
             r = self.filter(r, f)
         return r
 
+    def _plain(self, t: Any, hidden: list[str]) -> list[A.Triple] | None:
+        """A pattern as patterns without paths, with the names of the variables between; None where that isn't possible."""
+        if not isinstance(t, A.Triple) or isinstance(t.p, A.Repeat | A.Alternative):
+            return None
+        if isinstance(t.p, A.Inverse):
+            return self._plain(A.Triple(t.o, t.p.path, t.s), hidden)
+        if not isinstance(t.p, A.Sequence):
+            return [t]
+        if len(t.p.steps) == 2 and self._kept(t.p) is not None:
+            return None
+        out, at, names = [], t.s, [self.name("m") for _ in t.p.steps[1:]]
+        for step, to in zip(t.p.steps, [*map(A.Var, names), t.o], strict=True):
+            plain = self._plain(A.Triple(at, step, to), hidden)
+            if plain is None:
+                return None
+            out += plain
+            at = to
+        hidden += names
+        return out
+
+    def _kept(self, path: A.Sequence) -> DataFrame | None:
+        if not all(isinstance(x, A.Iri) for x in path.steps) or self.scope is not None or self.g.tables:
+            return None
+        return self.g.chains.get(tuple(x.value for x in path.steps))
+
     def part(self, r: Rel, p: Any) -> Rel:
         if isinstance(p, A.Triple):
             return self.path_pattern(r, p)
@@ -437,7 +465,7 @@ class Compiler:
 
     def path_pattern(self, r: Rel, t: A.Triple) -> Rel:
         if isinstance(t.p, A.Sequence):
-            kept = self.g.chains.get(tuple(x.value for x in t.p.steps)) if len(t.p.steps) == 2 and all(isinstance(x, A.Iri) for x in t.p.steps) and self.scope is None and not self.g.tables else None
+            kept = self._kept(t.p) if len(t.p.steps) == 2 else None
             if kept is not None:
                 return self.join(r, self._pairs(kept.select(F.col("s").alias("src"), F.col("o").alias("dst")), t))
             parts, at = [], t.s
