@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from ..oracles import sql_clean, sql_iri, sql_lexical, sql_value
 
 _WORDS = lambda c: rf"list_filter(string_split_regex(lower({c}), '[^\p{{L}}]+'), lambda x: x <> '')"
@@ -36,13 +38,44 @@ s AS (SELECT a.triple_id AS a, b.triple_id AS b, list_cosine_similarity(a.v, b.v
 best AS (SELECT a, b, sim FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) <= 10)
 """
 
+#: Letters of other scripts that look like a basic Latin one in common typefaces, put together by eye, apart from the operator's table.
+_EYE = {
+    "A": "ΑА", "B": "ΒВ", "C": "С", "E": "ΕЕ", "H": "ΗН", "I": "ΙІ", "J": "Ј", "K": "ΚК", "M": "ΜМ", "N": "Ν", "O": "ΟО", "P": "ΡР", "S": "Ѕ", "T": "ΤТ", "X": "ΧХ", "Y": "Υ", "Z": "Ζ",
+    "a": "аɑα", "c": "с", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іι", "j": "ј", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "v": "ν", "w": "ԝ", "x": "х", "y": "у",
+}
+
+
+def _looks(c: str) -> str:
+    """The look of a text in SQL: wide forms, ligatures, numerals, letters (also those with an accent of their own), hyphens and spaces in one form, composed."""
+    pairs = {chr(k + 0xFEE0): chr(k) for k in range(0x21, 0x7F)} | {x: to for to, xs in _EYE.items() for x in xs}
+    for k in range(0x80, 0x2000):
+        d = unicodedata.normalize("NFD", chr(k))
+        if len(d) == 2 and d[0] in pairs and len(to := unicodedata.normalize("NFC", pairs[d[0]] + d[1])) == 1:
+            pairs[chr(k)] = to
+    pairs |= dict.fromkeys("‐‑‒–⁃−﹣－", "-")
+    invisible = "[\\x{AD}\\x{34F}\\x{180E}\\x{200B}-\\x{200F}\\x{202A}-\\x{202E}\\x{2060}-\\x{2064}\\x{FE00}-\\x{FE0F}\\x{FEFF}]"
+    t = f"regexp_replace({c}, '{invisible}', '', 'g')"
+    for k in (*range(0x2160, 0x2180), *range(0xFB00, 0xFB05)):
+        t = f"replace({t}, chr({k}), '{unicodedata.normalize('NFKC', chr(k))}')"
+    quoted = ["".join(x).replace("'", "''") for x in zip(*pairs.items(), strict=True)]
+    t = f"nfc_normalize(translate({t}, '{quoted[0]}', '{quoted[1]}'))"
+    return f"trim(regexp_replace({t}, '[\\s\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'))"
+
+
+_P5 = f"WITH k AS MATERIALIZED (SELECT label_id, label, {_looks('label')} AS look FROM labels WHERE label IS NOT NULL), g AS (SELECT look, min(label_id) AS class_id, count(DISTINCT label) AS spellings FROM k GROUP BY 1) "
+
 ORACLES = {
+    "p5_found": _P5 + "SELECT a.label_id AS label_id_a, b.label_id AS label_id_b FROM k a JOIN k b ON a.look = b.look AND a.label_id < b.label_id AND a.label <> b.label",
+    "p5_classes": _P5 + "SELECT l.label_id, class_id, spellings FROM labels l LEFT JOIN k ON k.label_id = l.label_id LEFT JOIN g ON g.look = k.look",
+    "p8_counts": "SELECT doc_id, coalesce(text, '') = '' AS none FROM documents",
+    "p9_invariants": "SELECT count(*) AS documents, count(*) FILTER (coalesce(text, '') = '') AS without_room, true AS whole, true AS fits, true AS tight FROM documents",
     "p4_found": _P4 + "SELECT least(eval_id, train_id) AS stmt_id_a, greatest(eval_id, train_id) AS stmt_id_b FROM pairs",
     "p4_per_split": _P4 + "SELECT split_name, source, count(DISTINCT eval_id) AS statements, count(*) AS pairs, count(DISTINCT CASE WHEN c >= 1 THEN eval_id END) AS contained FROM pairs JOIN triples ON stmt_id = eval_id GROUP BY 1, 2",
     "p4_containment": _P4 + "SELECT eval_id AS stmt_id, count(*) AS partners, round(max(c), 6) AS containment FROM pairs GROUP BY 1",
     "p6_found": _P6 + "SELECT DISTINCT least(a, b) AS triple_id_a, greatest(a, b) AS triple_id_b FROM best WHERE sim >= 0.8",
     # exact, as the query is where all vectors together are fewer than its candidates
     "p6_neighbours": _P6 + "SELECT a AS id, b AS other, round(sim, 6) AS similarity FROM best WHERE a % 50 = 0",
+    "p6_recall": _P6 + "SELECT count(DISTINCT a) AS asked, true AS enough FROM best WHERE a % 50 = 0",
     "p7_found": _P7 + "SELECT * FROM (SELECT field, term, CASE WHEN records >= 0.01 * (SELECT count(*) FROM triples) THEN 'common' WHEN records <= 2 THEN 'rare' END AS mark FROM c) WHERE mark IS NOT NULL",
     "p7_counts": _P7 + "SELECT * FROM c",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.terms import clean_iri, iri_of, quoted_lexical, words
-from ..runtime import table
+from ..runtime import cut, table
 from . import encode, knn, overlap, packing, repetition, skeleton, termfreq
 from .oracles import ORACLES as ORACLES
 
@@ -38,7 +38,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_classes(spark: SparkSession, d: str) -> DataFrame:
-    return skeleton.classes(table(spark, d, "labels"), "label_id", "label")
+    """Each label with the class of its look, named by the least id in it, and the number of its spellings."""
+    return skeleton.classes(table(spark, d, "labels"), "label_id", "label").select("label_id", "class_id", "spellings")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -54,6 +55,17 @@ def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return near.select("id", "other", F.round("similarity", 6).alias("similarity"))
 
 
+def p6_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the index, asked for candidates of a third of all vectors, finds at least nine tenths of the ten most similar ones of every node whose
+    triple_id is divisible by 50; what these are is found without ruling any cell out."""
+    nodes = cut(knn.usable(table(spark, d, "hnsw_nodes").where(~F.col("deleted")), "triple_id", "vec"))
+    asked = nodes.where("id % 50 = 0")
+    near = knn.neighbours(nodes, asked, wanted=20, share=0.33).select("id", "other", F.lit(1).alias("hit"))
+    true = knn.neighbours(nodes, asked, least=-1.0).select("id", "other")
+    rows = true.join(near, ["id", "other"], "left").agg(F.countDistinct("id").alias("asked"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("enough"))
+    return rows
+
+
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "triples")
     as_list = lambda c: F.when(c.isNotNull(), F.array(c))
@@ -82,6 +94,26 @@ def p9_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(encode.token_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "tokens", 2048)
 
 
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the assignment: every document is there, whole unless it alone is too large, no container too full, at most one in a
+    hundred (and one) above the least number of containers."""
+    sizes = cut(encode.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    rows = cut(packing.pack(sizes, "doc_id", "tokens", 2048))
+    per = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("size"), F.count_if(F.col("container").isNull()).alias("none"))
+    docs = sizes.join(per, "doc_id", "left").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("none").alias("without_room"), F.sum("tokens").alias("tokens"),
+        F.every((F.col("size") == F.col("tokens")) & (F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("tokens") / 2048)))).alias("whole"),
+    )
+    full = rows.where("container is not null").groupBy("container").agg(F.sum("size").alias("fill")).agg(F.count(F.lit(1)).alias("n"), F.max("fill").alias("most"))
+    both = docs.join(full)
+    return both.select("documents", "without_room", "whole", (F.col("most") <= 2048).alias("fits"), (F.col("n") <= F.ceil(F.col("tokens") / 2048) * 1.01 + 1).alias("tight"))
+
+
+def p8_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Which texts have no token."""
+    return encode.token_counts(table(spark, d, "documents"), "doc_id", "text").select("doc_id", (F.col("tokens") == 0).alias("none"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents"), "doc_id", "text").select("doc_id")
 
@@ -106,4 +138,4 @@ def p10_rules(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "rule string, on_repetitive double, on_other double")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_per_split, p4_containment, p5_found, p5_classes, p6_found, p6_neighbours, p7_found, p7_counts, p8_ids, p8_decoded, p9_pack, p10_found, p10_shares, p10_judged, p10_rules)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_per_split, p4_containment, p5_found, p5_classes, p6_found, p6_neighbours, p6_recall, p7_found, p7_counts, p8_ids, p8_decoded, p8_counts, p9_pack, p9_invariants, p10_found, p10_shares, p10_judged, p10_rules)}
