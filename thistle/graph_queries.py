@@ -89,7 +89,7 @@ add("f13_hidden_variables", "nation region", 'SELECT * WHERE { ?n ex:n_regionkey
 add("o7_sub_group", "orders customer", 'SELECT ?o ?m WHERE { ?o ex:o_custkey ?c ; ex:o_totalprice ?t . { ?c ex:c_mktsegment ?m ; ex:c_acctbal ?b FILTER(?b > 9000) { ?c ex:c_nationkey ?n FILTER(?t > 0 || ?n != ex:none) } } FILTER(?t > 300000) }',
     f"SELECT {iri('orders', 'o_orderkey')} AS o, c_mktsegment AS m FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000 AND c_acctbal > 9000")
 add("a9_hidden_group_key", "part", "SELECT (COUNT(*) AS ?n) (MIN(?s) AS ?low) WHERE { ?p ex:p_type ?t ; ex:p_size ?s } GROUP BY (STRLEN(?t))", "SELECT count(*) AS n, CAST(min(p_size) AS BIGINT) AS low FROM part GROUP BY length(p_type)")
-add("p_chain_of_links", "customer nation region orders", "SELECT ?r (COUNT(*) AS ?n) WHERE { ?o ex:o_custkey ?c . ?c ex:c_nationkey ?k . ?k ex:n_regionkey ?r } GROUP BY ?r", f"SELECT {iri('region', 'n_regionkey')} AS r, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+add("j_chain_of_links", "customer nation region orders", "SELECT ?r (COUNT(*) AS ?n) WHERE { ?o ex:o_custkey ?c . ?c ex:c_nationkey ?k . ?k ex:n_regionkey ?r } GROUP BY ?r", f"SELECT {iri('region', 'n_regionkey')} AS r, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 
 # expressions
 

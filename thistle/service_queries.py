@@ -286,7 +286,7 @@ e AS MATERIALIZED (SELECT a.vec_id AS src, b.vec_id AS dst, b.sc FROM v a JOIN v
 best AS MATERIALIZED (SELECT src, dst, sc FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY sc DESC, '{EX}embeddings/' || dst) = 1),
 w AS (SELECT vec_id AS a, vec_id AS b, sc, 0 AS k FROM v WHERE label = 3 UNION ALL SELECT w.a, best.dst, best.sc, k + 1 FROM w JOIN best ON best.src = w.b WHERE best.sc > w.sc)
 SELECT '{EX}embeddings/' || a AS a, '{EX}embeddings/' || b AS b FROM w QUALIFY row_number() OVER (PARTITION BY a ORDER BY k DESC) = 1""")
-def p8_greedy_walk(spark: SparkSession, d: str) -> DataFrame:
+def path_greedy_walk(spark: SparkSession, d: str) -> DataFrame:
     from .more_queries import path_greedy
 
     return path_greedy(spark, d)
