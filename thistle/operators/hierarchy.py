@@ -18,6 +18,25 @@ class Hierarchy:
 
 
 def double_pointers(edges: DataFrame, nodes: DataFrame, targets: str = "roots", paths: bool = False, loops: bool = True) -> Hierarchy:
+    """As _double(), on numbers in place of names, which are long and would be shuffled in every round: the nodes are numbered in a written table, and
+    names put back at the end. With paths, whose order is that of the names, these are kept. Nulls are no nodes."""
+    if paths:
+        return _double(edges, nodes, targets, paths, loops)
+    edges = edges.where("child is not null and parent is not null").select("hier", "child", "parent")
+    every = edges.select("hier", F.explode(F.array("child", "parent")).alias("node")).unionByName(nodes.where("node is not null").select("hier", "node")).distinct()
+    names = cut(every.withColumn("id", F.monotonically_increasing_id()))
+    side = lambda c, k: names.select("hier", F.col("node").alias(c), F.col("id").alias(k))
+    one = F.lit(0).cast("tinyint").alias("hier")
+    numbered = edges.distinct().join(side("child", "a"), ["hier", "child"]).join(side("parent", "b"), ["hier", "parent"]).select(one, F.col("a").alias("child"), F.col("b").alias("parent"))
+    asked = names.join(nodes.select("hier", "node").distinct(), ["hier", "node"], "left_semi").select(one, F.col("id").alias("node"))
+    h = _double(numbered, asked, targets, False, loops)
+    by = names.select("hier", F.col("node").alias("name"), F.col("id").alias("node"))
+    reached = h.reached.drop("hier").join(by, "node").select("hier", F.col("name").alias("node"), "target", "node_depth")
+    reached = reached.join(names.select(F.col("id").alias("target"), F.col("node").alias("name")), "target").select("hier", "node", F.col("name").alias("target"), "node_depth")
+    return Hierarchy(reached, h.cyclic.select("node").join(by, "node").select("hier", F.col("name").alias("node")))
+
+
+def _double(edges: DataFrame, nodes: DataFrame, targets: str, paths: bool, loops: bool) -> Hierarchy:
     """All targets each node reaches upwards, with the fewest edges, and all nodes that lie on loops.
 
     edges: hier, child, parent (repeats and nulls allowed, they count once or not at all). nodes: hier, node. targets: "roots" (nodes
