@@ -129,9 +129,9 @@ def chains(triples: DataFrame) -> DataFrame:
     return a.distinct().join(steps, "mid").select("root", F.concat("p1", F.lit(" "), "p2").alias("path")).distinct()
 
 
-def deep(triples: DataFrame, depth: int = 2) -> DataFrame:
+def deep(triples: DataFrame, depth: int = 2, fan_in: float = FAN_IN) -> DataFrame:
     """(path, roots, coverage, fan_in): two-step paths shared by at least half of the nodes of one path signature, in groups of at least
-    10 depth^2 nodes with two paths or more, where the middle nodes serve at most three roots on average."""
+    10 depth^2 nodes with two paths or more, where the middle nodes serve at most `fan_in` roots on average."""
     paths = cut(chains(triples))
     sig = paths.groupBy("root").agg(F.array_sort(F.collect_list("path")).alias("sig")).where(F.size("sig") >= DEEP_PATHS)
     group = sig.groupBy("sig").agg(F.count(F.lit(1)).alias("group")).where(F.col("group") >= LEAST_NODES * depth * depth)
@@ -140,7 +140,7 @@ def deep(triples: DataFrame, depth: int = 2) -> DataFrame:
     per = kept.groupBy("path").agg(F.countDistinct("root").alias("roots")).withColumn("coverage", F.col("roots") / F.lit(max(total, 1))).where(F.col("coverage") >= CORE)
     mids = triples.select(F.col("s").alias("root"), "p", F.col("o").alias("mid")).join(kept.select("root").distinct(), "root", "left_semi").groupBy("p", "mid").agg(F.countDistinct("root").alias("n"))
     fan = mids.groupBy("p").agg(F.avg("n").alias("fan_in"))
-    return per.join(fan, F.substring_index("path", " ", 1) == F.col("p")).drop("p").where(F.col("fan_in") <= FAN_IN)
+    return per.join(fan, F.substring_index("path", " ", 1) == F.col("p")).drop("p").where(F.col("fan_in") <= fan_in)
 
 
 def coverage(triples: DataFrame, type_predicate: str) -> DataFrame:

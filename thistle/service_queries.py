@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions.terms import PREFIXES, clean_iri
 from .graph import Graph
-from .graph_queries import EX, XSD, iri
+from .graph_queries import EX, XSD, iri, tables_graph
 from .more_queries import _FALL, _L, _Q, _S, HOT, KG, annotated, classes, links, vector_text
 from .operators import health, owl, proptable, retract
 from .oracles import sql_clean, sql_iri
@@ -281,15 +281,11 @@ def t5_several_intervals(spark: SparkSession, d: str) -> DataFrame:
 # paths, vectors
 
 
-@query(f"""WITH RECURSIVE q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS sc FROM embeddings, q),
+ORACLES["path_greedy"] = f"""WITH RECURSIVE q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), v AS MATERIALIZED (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, list_cosine_similarity(CAST(embedding AS DOUBLE[]), q) AS sc FROM embeddings, q),
 e AS MATERIALIZED (SELECT a.vec_id AS src, b.vec_id AS dst, b.sc FROM v a JOIN v b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id) <= 16),
 best AS MATERIALIZED (SELECT src, dst, sc FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY sc DESC, '{EX}embeddings/' || dst) = 1),
 w AS (SELECT vec_id AS a, vec_id AS b, sc, 0 AS k FROM v WHERE label = 3 UNION ALL SELECT w.a, best.dst, best.sc, k + 1 FROM w JOIN best ON best.src = w.b WHERE best.sc > w.sc)
-SELECT '{EX}embeddings/' || a AS a, '{EX}embeddings/' || b AS b FROM w QUALIFY row_number() OVER (PARTITION BY a ORDER BY k DESC) = 1""")
-def path_greedy_walk(spark: SparkSession, d: str) -> DataFrame:
-    from .more_queries import path_greedy
-
-    return path_greedy(spark, d)
+SELECT '{EX}embeddings/' || a AS a, '{EX}embeddings/' || b AS b FROM w QUALIFY row_number() OVER (PARTITION BY a ORDER BY k DESC) = 1"""
 
 
 @query("""WITH e AS (SELECT a.vec_id AS src FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) <= 16), p AS (SELECT src, count(*) AS n FROM e GROUP BY 1)
@@ -304,6 +300,11 @@ def v13_bottom_health(spark: SparkSession, d: str) -> DataFrame:
 
 # discovery and upkeep
 
+ORACLES["d4_deep"] = _L + """, x AS (SELECT DISTINCT a.s AS root, a.p || ' ' || b.p AS path FROM t a JOIN (SELECT DISTINCT s, p FROM t) b ON b.s = a.o), sig AS (SELECT root, string_agg(path, ',' ORDER BY path) AS sig FROM x GROUP BY 1 HAVING count(*) >= 2),
+kept AS MATERIALIZED (SELECT root FROM sig WHERE sig IN (SELECT sig FROM sig GROUP BY 1 HAVING count(*) >= 40)), per AS (SELECT path, count(*) AS roots, count(*) / (SELECT count(*) FROM kept) AS coverage FROM x WHERE root IN (SELECT root FROM kept) GROUP BY 1),
+fan AS (SELECT p, avg(n) AS fan_in FROM (SELECT p, o, count(DISTINCT s) AS n FROM t WHERE s IN (SELECT root FROM kept) GROUP BY 1, 2) GROUP BY 1)
+SELECT path, roots, coverage, fan_in FROM per JOIN fan ON p = split_part(path, ' ', 1) WHERE coverage >= 0.5 AND fan_in <= 3"""
+
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
     """All statements, those with literals, too."""
@@ -333,6 +334,16 @@ def j9_kept_chain(spark: SparkSession, d: str) -> DataFrame:
     return g.sparql("SELECT ?x ?y WHERE { ?x kgp:locatedIn/kgp:instanceOf ?y }")
 
 
+_STEPS = ["c_acctbal", "c_custkey", "c_mktsegment", "c_name", "c_nationkey", "c_nationkey_id"]
+
+
+@query("SELECT path, (SELECT count(*) FROM orders) AS roots, 1.0::DOUBLE AS coverage, (SELECT count(*) / count(DISTINCT o_custkey) FROM orders) AS fan_in FROM (VALUES " + ", ".join(f"('{EX}o_custkey {x}')" for x in [RDF_TYPE, *(EX + c for c in _STEPS)]) + ") v(path)")
+def d4_deep_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Two-step paths that all orders share, through customers with up to twenty orders on average."""
+    g = tables_graph(spark, d, "orders", "customer")
+    return proptable.deep(cut(g.sparql("CONSTRUCT { ?s ?p ?o } WHERE { ?s ?p ?o }")), fan_in=20)
+
+
 @query(_L + "SELECT count(*) AS statements, count(DISTINCT s) AS subjects, count(DISTINCT p) AS predicates, 'healthy' AS status FROM t")
 def m3_report(spark: SparkSession, d: str) -> DataFrame:
     r = health.report(Graph(spark, triples=cut(links(spark, d))))
