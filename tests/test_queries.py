@@ -76,7 +76,7 @@ def test_plans(spark):
         return tables_graph(spark, DATA, *tables.split()).sparql(text)._jdf.queryExecution().executedPlan().toString()
 
     star = plan("j10_star")
-    assert star.count("FileScan") == 1 and "Join" not in star and "GreaterThan(p_retailprice,1500.0)" in star and "p_type" not in star.split("ReadSchema")[1]
+    assert star.count("FileScan") == 1 and "Join" not in star and "GreaterThan(p_retailprice,950.0)" in star and "p_type" not in star.split("ReadSchema")[1]
     assert "EqualTo(o_orderkey,7)" in plan("f1_constant_subject")
     chain = plan("j2_foreign_key")
     assert chain.count("Join") == 1 and "CartesianProduct" not in chain and "NestedLoop" not in chain
