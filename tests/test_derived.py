@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from thistle.operators import health
+from thistle.operators import health, proptable
 from thistle.plans.ast import QueryError
 
 from .graphs import EX, ask, graph
@@ -30,6 +30,18 @@ def test_found_tables_give_the_same_rows(spark):
     assert g.stars == [] and ("s1",) in ask(g, "SELECT ?s WHERE { ?s ex:name ex:other ; ex:age ?a }")
 
 
+def test_only_tables_that_can_serve_are_built(spark, monkeypatch):
+    built = []
+    build = proptable.build
+    monkeypatch.setattr(proptable, "build", lambda *a: built.append(a[2]) or build(*a))
+    # of a's predicates all have subjects elsewhere, too
+    g = graph(spark, [(f"{k}{i}", p, "v") for k in "ab" for i in range(12) for p in ("name", "age", f"{k}1", f"{k}2", f"{k}3")] + [("z", p, "v") for p in ("a1", "a2", "a3")])
+    assert len(g.find_tables()) == 2
+    assert [[p.removeprefix(">" + EX) for p in t.core] for t in built] == [["age", "b1", "b2", "b3", "name"]]
+    assert [sorted(c.values()) for _, c in g.stars] == [["b1", "b2", "b3"]]
+    assert len(ask(g, "SELECT ?s WHERE { ?s ex:b1 ?x ; ex:b2 ?y }")) == 12 and len(ask(g, "SELECT ?s WHERE { ?s ex:a1 ?x ; ex:a2 ?y }")) == 13
+
+
 def test_columns_with_several_values_serve_nothing(spark):
     g = graph(spark, PEOPLE + [("s1", "name", "second")])
     q = "SELECT ?s ?n WHERE { ?s ex:name ?n ; ex:age ?a }"

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -80,6 +81,35 @@ def test_merging_equals_a_scan_of_all_pairs():
     assert len(want) < len(groups) and proptable.merge(groups) == want
 
 
+def test_merging_with_keys_of_any_length(monkeypatch):
+    r = random.Random(3)
+    base = [r.sample(range(60), r.randint(1, 24)) for _ in range(80)]
+    # near a few sets, so that tables grow
+    groups = list({tuple(sorted(f"{p:02}" for p in {*r.sample(x, max(1, len(x) - r.randint(0, 3))), *r.sample(range(60), r.randint(0, 3))})): r.randint(1, 9) for x in base * 12}.items())
+    want: list[tuple[set[str], list[int]]] = []
+    for i in sorted(range(len(groups)), key=lambda i: (-groups[i][1], groups[i][0])):
+        own = set(groups[i][0])
+        for props, members in want:
+            if len(props & own) / len(props | own) >= proptable.SIMILAR:
+                props |= own
+                members.append(i)
+                break
+        else:
+            want.append((own, [i]))
+    assert max(len(m) for _, m in want) > 5
+    for most in (1, 30, 100, 1000):
+        monkeypatch.setattr(proptable, "MOST_KEYS", most)
+        assert proptable.merge(groups) == want
+
+
+def test_merging_of_many_signatures_of_few_properties():
+    r = random.Random(1)
+    groups = [(sig, 1) for sig in {tuple(p for p in (f"p{k:02}" for k in range(36)) if r.random() < 0.33) for _ in range(12_000)}]
+    start = time.process_time()
+    assert sum(len(m) for _, m in proptable.merge(groups)) == len(groups)
+    assert time.process_time() - start < 20
+
+
 def test_discovery_of_any_number_of_signatures(spark):
     pairs = [(i, j) for i in range(206) for j in range(i)]
     many = spark.createDataFrame([(f"n{i}-{j}", f"p{k}", "o") for i, j in pairs for k in (i, j)], "s string, p string, o string")
